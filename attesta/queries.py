@@ -1,13 +1,59 @@
 """Registered queries of the core."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.operators import history
+from attesta.session import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = history.replayed_history(table(spark, sf_dir, "status_updates"))
+    return versions.select("doc_id", "ref_key", F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
+
+
+def p2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version with its values and both ends of its validity."""
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("valid_from", "valid_to")]
+    return history.replayed_history(table(spark, sf_dir, "status_updates")).select("doc_id", "ref_key", "version", *history.FIELDS, *shown, "is_current")
+
 
 def flagship(spark, sf_dir):
     raise NotImplementedError
 
 
 def queries() -> dict:
-    return {}
+    return {"p2_found": p2_found, "p2_versions": p2_versions}
+
+
+_DATE = """CASE WHEN regexp_matches({c}, '^\\d{{4}}-') THEN {c} WHEN regexp_matches({c}, '^\\d{{4}}/') THEN replace({c}, '/', '-')
+ WHEN regexp_matches({c}, '^\\d{{8}}$') THEN strftime(strptime({c}, '%Y%m%d'), '%Y-%m-%d') WHEN regexp_matches({c}, '^\\d+-\\d+-\\d{{4}}$') THEN strftime(strptime({c}, '%d-%m-%Y'), '%Y-%m-%d')
+ WHEN regexp_matches({c}, '^\\d+\\.') THEN strftime(strptime({c}, '%d.%m.%Y'), '%Y-%m-%d') ELSE coalesce(strftime(try_strptime({c}, '%d %B %Y'), '%Y-%m-%d'), strftime(try_strptime({c}, '%d %b %Y'), '%Y-%m-%d'), lower({c})) END"""
+_VALUES = {
+    "status": "regexp_replace(lower(trim(status)), '[ _-]+', '_', 'g')",
+    "effective_from": _DATE.format(c="trim(effective_from)"),
+    "effective_to": _DATE.format(c="trim(effective_to)"),
+    "struck_down_by": "lower(trim(regexp_replace(struck_down_by, '\\s+', ' ', 'g')))",
+}
+_VERSIONS = (
+    "WITH one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ref_key, recorded_at ORDER BY update_id DESC, arrived_at DESC) AS rn FROM status_updates), told AS (SELECT doc_id, ref_key, recorded_at, "
+    + ", ".join(f"CASE WHEN row_kind = 'update' AND {c} IS NULL THEN NULL WHEN {c} IS NULL OR trim({c}) IN ('', '-') THEN '' ELSE {v} END AS {c}" for c, v in _VALUES.items())
+    + " FROM one WHERE rn = 1), st AS (SELECT doc_id, ref_key, recorded_at, "
+    + ", ".join(f"nullif(last_value({c} IGNORE NULLS) OVER w, '') AS {c}" for c in _VALUES)
+    + " FROM told WINDOW w AS (PARTITION BY doc_id, ref_key ORDER BY recorded_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), ch AS (SELECT *, lag(recorded_at) OVER o AS was, "
+    + ", ".join(f"lag({c}) OVER o AS l_{c}" for c in _VALUES)
+    + " FROM st WINDOW o AS (PARTITION BY doc_id, ref_key ORDER BY recorded_at)), v AS (SELECT * FROM ch WHERE was IS NULL OR "
+    + " OR ".join(f"{c} IS DISTINCT FROM l_{c}" for c in _VALUES)
+    + ") "
+)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    at = "strftime(recorded_at, '%Y-%m-%d %H:%M:%S')"
+    after = f"lead({at}) OVER (PARTITION BY doc_id, ref_key ORDER BY recorded_at)"
+    return {
+        "p2_found": _VERSIONS + f"SELECT doc_id, ref_key, {at} AS valid_from FROM v",
+        "p2_versions": _VERSIONS + f"SELECT doc_id, ref_key, CAST(row_number() OVER (PARTITION BY doc_id, ref_key ORDER BY recorded_at) AS INTEGER) AS version, {', '.join(_VALUES)}, {at} AS valid_from, {after} AS valid_to, {after} IS NULL AS is_current FROM v",
+    }
