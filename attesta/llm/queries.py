@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import lookalike
+from attesta.llm import lookalike, spans
 from attesta.session import table
 
 
@@ -15,8 +15,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(docs.unionByName(quotes), "key", "text", "tab")
 
 
+def _span_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Provisions are indexed first, quotes come as the next batch."""
+    quotes = table(spark, sf_dir, "quotes").withColumn("rec", F.concat(F.lit("quote::"), F.col("quote_id").cast("string")))
+    return [spans.parts_of(table(spark, sf_dir, "chunks"), "chunk_id", ["text"]), spans.parts_of(quotes, "rec", ["source", "quote"])]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.record_pairs(*spans.shared_matches(_span_batches(spark, sf_dir), spark))
+
+
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record is shared elsewhere."""
+    batches = _span_batches(spark, sf_dir)
+    return spans.shared_cover(*spans.shared_matches(batches, spark), batches[0].unionByName(batches[1]))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover}
 
 
 def oracle_sql() -> dict[str, str]:
