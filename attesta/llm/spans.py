@@ -85,14 +85,13 @@ def fingerprints(texts: DataFrame, k: int, w: int) -> DataFrame:
 
 def common_prefix(a: Column, b: Column, most: int) -> Column:
     """Length of the common prefix of two strings of at most ``most`` characters, by bisection."""
-    size = F.lit(0)
-    step = 1 << (most.bit_length() - 1)
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
     room = F.least(F.length(a), F.length(b))
-    while step:
-        longer = size + step
-        size = F.when((longer <= room) & (F.substring(a, F.lit(1), longer) == F.substring(b, F.lit(1), longer)), longer).otherwise(size)
-        step //= 2
-    return size
+
+    def grown(size: Column, step: Column) -> Column:
+        return F.when((size + step <= room) & (F.substring(a, size + 1, step) == F.substring(b, size + 1, step)), size + step).otherwise(size)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), grown)
 
 
 @dataclass
