@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import lookalike, spans
+from attesta.llm import lookalike, neardup, spans
 from attesta.session import table
 
 
@@ -31,8 +31,18 @@ def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_cover(*spans.shared_matches(batches, spark), batches[0].unionByName(batches[1]))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.pairs_of_records(*neardup.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_id", "text"))
+    return pairs.select(F.col("rec_a").alias("chunk_a"), F.col("rec_b").alias("chunk_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each provision."""
+    return neardup.groups_of_records(*neardup.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_id", "text")).withColumnRenamed("rec", "chunk_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
