@@ -94,14 +94,15 @@ def changes(
 
 
 def _sliced(rows: DataFrame, entity: Sequence[str], slice_rows: int) -> DataFrame:
-    """rows with ``slice``: 0 for entities of at most slice_rows rows, else the number of a run of hours holding about slice_rows rows."""
+    """rows with ``sliced`` and ``slice``: 0 for entities of at most slice_rows rows, else the number of a run of hours holding about slice_rows rows."""
     hour = F.date_trunc("hour", F.col("at"))
     hours = rows.groupBy(*entity, hour.alias("hour")).agg(F.count("*").alias("n"))
     size = hours.groupBy(*entity).agg(F.sum("n").alias("total")).where(F.col("total") > slice_rows).select(*entity)
     run = Window.partitionBy(*entity).orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     # An entity has at most one row an hour here, however many changes it has.
     cuts = hours.join(size, list(entity), "left_semi").select(*entity, "hour", F.floor((F.sum("n").over(run) - F.col("n")) / slice_rows).cast("int").alias("slice"))
-    return rows.withColumn("hour", hour).join(cuts, [*entity, "hour"], "left").withColumn("slice", F.coalesce("slice", F.lit(0))).drop("hour")
+    rows = rows.withColumn("hour", hour).join(cuts, [*entity, "hour"], "left").withColumn("sliced", F.col("slice").isNotNull())
+    return rows.withColumn("slice", F.coalesce("slice", F.lit(0))).drop("hour")
 
 
 def build_history(rows: DataFrame, entity: Sequence[str] = ("doc_id", "ref_key"), fields: Sequence[str] = tuple(FIELDS), slice_rows: int = 50_000) -> DataFrame:
@@ -111,39 +112,26 @@ def build_history(rows: DataFrame, entity: Sequence[str] = ("doc_id", "ref_key")
     first change and with each change after which any field differs.
     """
     entity, fields = list(entity), list(fields)
-    rows = _sliced(rows, entity, slice_rows)
+    rows = cut(_sliced(rows, entity, slice_rows))
     within = Window.partitionBy(*entity, "slice").orderBy("at")
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.select(*entity, "slice", "at", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in fields])
+    filled = rows.select(*entity, "slice", "at", *[F.last(n, ignorenulls=True).over(within).alias(n) for n in fields])
 
-    # What each slice carries over: one row a slice, scanned in order.
-    ends = rows.groupBy(*entity, "slice").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("at"))).alias(n) for n in fields])
+    # What each slice takes over from the slices before: one row a slice, scanned in order. Only sliced entities have such rows.
+    ends = rows.groupBy(*entity, "slice").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("at"))).alias(n) for n in fields], F.max("sliced").alias("sliced")).where("sliced")
     before = Window.partitionBy(*entity).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*entity, "slice", *[F.last(n, ignorenulls=True).over(before).alias(f"{n}_in") for n in fields]).where("slice > 0")
-    state = filled.join(carried, [*entity, "slice"], "left").select(*entity, "slice", "at", F.struct(*[F.coalesce(n, f"{n}_in")["v"].alias(n) for n in fields]).alias("state"))
-
-    # Within a slice a row is compared with the row before; the first row of a slice with the last state of the slice before.
-    state = state.withColumn("before", F.lag("state").over(within))
-    starts = state.where(F.col("before").isNull() | ~F.col("state").eqNullSafe(F.col("before")))
-    kept = Window.partitionBy(*entity, "slice").orderBy("at")
-    starts = starts.withColumn("next", F.lead("at").over(kept))
-    heads = starts.where(F.col("before").isNull()).select(*entity, "slice", F.col("at").alias("head_at"), F.col("state").alias("head"))
-    tails = state.groupBy(*entity, "slice").agg(F.max_by("state", "at").alias("tail"))
+    taken = ends.select(*entity, "slice", F.struct(*[F.last(n, ignorenulls=True).over(before)["v"].alias(n) for n in fields]).alias("taken")).where("slice > 0")
+    state = filled.join(taken, [*entity, "slice"], "left")
+    state = state.select(*entity, "slice", "at", "taken", F.struct(*[F.when(F.col(n).isNotNull(), F.col(n)["v"]).otherwise(F.col("taken")[n]).alias(n) for n in fields]).alias("state"))
+    # A row is compared with the row before, the first one of a slice with what the slice takes over.
+    state = state.withColumn("before", F.coalesce(F.lag("state").over(within), "taken"))
+    starts = cut(state.where(F.col("before").isNull() | ~F.col("state").eqNullSafe(F.col("before"))).select(*entity, "slice", "at", "state"))
+
     order = Window.partitionBy(*entity).orderBy("slice")
-    links = heads.join(tails, [*entity, "slice"]).withColumn("goes_on", F.coalesce(F.col("head").eqNullSafe(F.lag("tail").over(order)) & F.lag("tail").over(order).isNotNull(), F.lit(False)))
-    counts = starts.groupBy(*entity, "slice").agg(F.count("*").alias("n"), F.min(F.when(F.col("before").isNotNull(), F.col("at"))).alias("second_at"))
-    links = links.join(counts, [*entity, "slice"]).withColumn("n", F.col("n") - F.col("goes_on").cast("int"))
-    first_at = F.when(~F.col("goes_on"), F.col("head_at")).otherwise(F.col("second_at"))
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    links = links.select(
-        *entity, "slice", "goes_on",
-        F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
-        F.first(first_at, ignorenulls=True).over(after).alias("next_slice_at"),
-    )
-    starts = starts.join(links, [*entity, "slice"]).where(~(F.col("before").isNull() & F.col("goes_on")))
-    number = F.row_number().over(kept) + F.col("earlier")
-    valid_to = F.coalesce("next", "next_slice_at")
-    return starts.select(*entity, number.cast("int").alias("version"), *[F.col(f"state.{n}").alias(n) for n in fields], F.col("at").alias("valid_from"), valid_to.alias("valid_to"), valid_to.isNull().alias("is_current"))
+    links = starts.groupBy(*entity, "slice").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    links = links.select(*entity, "slice", (F.sum("n").over(order) - F.col("n")).alias("earlier"), F.lead("first_at").over(order).alias("later_at"))
+    number = F.row_number().over(within) + F.col("earlier")
+    valid_to = F.coalesce(F.lead("at").over(within), "later_at")
+    return starts.join(links, [*entity, "slice"]).select(*entity, number.cast("int").alias("version"), *[F.col(f"state.{n}").alias(n) for n in fields], F.col("at").alias("valid_from"), valid_to.alias("valid_to"), valid_to.isNull().alias("is_current"))
 
 
 def rebuild_affected(history: DataFrame, raw_changes: DataFrame, batch: DataFrame, entity: Sequence[str] = ("doc_id", "ref_key"), **options) -> DataFrame:
