@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import lookalike, neardup, spans
+from attesta.llm import lookalike, neardup, spans, split
 from attesta.session import table
 
 
@@ -41,9 +41,22 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups_of_records(*neardup.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_id", "text")).withColumnRenamed("rec", "chunk_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_texts(table(spark, sf_dir, "chunks").select("chunk_id", "text")).where("piece_count > 1").select("chunk_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all provisions, with their place in the whole document where the offsets of the provision fit its text."""
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "doc_id", "text", "char_start", "char_end").dropDuplicates(["chunk_id", "text"])
+    fits = F.col("char_end") - F.col("char_start") == F.length("text")
+    out = split.split_texts(chunks)
+    place = [F.when(fits, F.col("char_start") + F.col(c)).alias(f"doc_{c}") for c in ("piece_start", "piece_end")]
+    return out.select("chunk_id", "doc_id", "piece_no", "piece_count", "piece_start", "own_start", "piece_end", *place, "piece_text")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1200"}
