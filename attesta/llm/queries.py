@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import lookalike, neardup, spans, split
+from attesta.llm import leak, lookalike, neardup, spans, split
 from attesta.session import table
 
 
@@ -54,8 +54,21 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chunk_id", "doc_id", "piece_no", "piece_count", "piece_start", "own_start", "piece_end", *place, "piece_text")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also passages with one word changed, with the longest unchanged run."""
+    return _leaks(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks}
 
 
 def oracle_sql() -> dict[str, str]:
