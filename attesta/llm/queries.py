@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import leak, lookalike, neardup, spans, split
+from attesta.llm import langid, leak, lookalike, neardup, spans, split
 from attesta.session import table
 
 
@@ -67,8 +67,27 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.document_languages(docs, "doc_id", "text", "lang", langid.train(docs, "doc_id", "text", "lang"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).where("verdict IN ('missing', 'wrong', 'mixed')").select("doc_id", F.explode("langs").alias("lang"))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document with its confidence, and what is the matter with its label."""
+    return _languages(spark, sf_dir).select("doc_id", "lang", "text_lang", F.round("confidence", 6).alias("confidence"), "verdict")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.language_segments(docs, "doc_id", "text", langid.train(docs, "doc_id", "text", "lang"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
