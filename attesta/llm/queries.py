@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import langid, leak, lookalike, neardup, spans, split
+from attesta.llm import langid, leak, lookalike, mix, neardup, spans, split
 from attesta.session import table
 
 
@@ -86,8 +86,24 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_segments(docs, "doc_id", "text", langid.train(docs, "doc_id", "text", "lang"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = mix.sized_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    arcs = mix.allotments(sized, table(spark, sf_dir, "mix_targets"))
+    return mix.selected_documents(sized, arcs), arcs
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each plan, and how often each is used for which source."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of each plan."""
+    return mix.reached_shares(*_mixed(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
