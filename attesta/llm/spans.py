@@ -116,22 +116,21 @@ class SpanIndex:
         self.w = self.span - self.k + 1
 
     def _write(self, df: DataFrame, key: str) -> str:
-        """An immutable table in ``buckets`` files by ``key``, each sorted, so that a later merge join neither shuffles nor sorts it."""
+        """An immutable table in ``buckets`` files by ``key``, each sorted, so that a later merge join does not shuffle it. df comes partitioned so."""
         name = f"spans_{uuid4().hex}"
-        df.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        options = {"path": f"{self.path}/{name}", "compression": "zstd"}
+        df.write.bucketBy(self.buckets, key).sortBy(key).options(**options).format("parquet").saveAsTable(name)
         return name
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index the texts of a batch that are new, and return the verified matches (tid_a, start_a, end_a, tid_b, start_b, end_b) of the new texts with all."""
-        texts = batch.where(F.length("text") >= self.span).select("tid", "text")
+        texts = batch.where(F.length("text") >= self.span).select("tid", "text").repartition(self.buckets, "tid").dropDuplicates(["tid"])
         for _, _, old in self.runs:
             texts = texts.join(self.spark.table(old).select("tid"), "tid", "left_anti")
-        text_table = self._write(texts.dropDuplicates(["tid"]), "tid")
-        run = self._write(fingerprints(self.spark.table(text_table), self.k, self.w), "h")
-        earlier = list(self.runs)
+        text_table = self._write(texts, "tid")
+        run = self._write(fingerprints(self.spark.table(text_table), self.k, self.w).repartition(self.buckets, "h"), "h")
         self.runs.append((0, run, text_table))
-        found = self._matches(run, [r for _, r, _ in earlier])
-        return found
+        return self._matches(run)
 
     def compact(self) -> None:
         """Merge the runs of each level that has ``fan`` of them into one run of the next level."""
@@ -144,64 +143,61 @@ class SpanIndex:
                     whole = self.spark.table(same[0][i])
                     for r in same[1:]:
                         whole = whole.unionByName(self.spark.table(r[i]))
-                    merged.append(self._write(whole, key))
+                    merged.append(self._write(whole.repartition(self.buckets, key), key))
                 self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, *merged)]
                 for r in same:
                     for name in r[1:]:
                         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             level += 1
 
-    def _texts(self) -> DataFrame:
-        first, *rest = (self.spark.table(t) for _, _, t in self.runs)
-        for t in rest:
-            first = first.unionByName(t)
-        return first
-
-    def _matches(self, new: str, old: list[str]) -> DataFrame:
-        """Merge-join the new run with itself and with each old run."""
+    def _matches(self, new: str) -> DataFrame:
+        """Merge-join the new run with itself and with each old run, and verify what meets."""
         fresh = self.spark.table(new)
-        by_hash = [fresh.groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("lo"), F.max("tid").alias("hi"))]
-        by_hash += [self.spark.table(r).join(fresh.select("h").distinct().hint("merge"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"), F.min("tid").alias("lo"), F.max("tid").alias("hi")) for r in old]
-        groups = by_hash[0]
-        for g in by_hash[1:]:
-            groups = groups.unionByName(g)
-        shared = groups.groupBy("h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("h", (F.col("n") > self.hot).alias("often"))
-        places = [self.spark.table(r).join(shared.hint("merge"), "h").withColumn("new", F.lit(r == new)) for r in [new, *old]]
-        spots = places[0]
-        for p in places[1:]:
-            spots = spots.unionByName(p)
-        k, side = self.k, self.w - 1
-        # The surroundings of each shared fingerprint: as far as a span of the full length around it can reach.
-        around = (
-            spots.join(self._texts(), "tid")
-            .select(
-                "h", "tid", "pos", "new", "often",
-                F.when(~F.col("often"), F.reverse(F.substring("text", F.greatest(F.col("pos") - side, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(side))))).alias("left"),
-                F.when(~F.col("often"), F.substring("text", F.col("pos") + k + 1, F.lit(side))).alias("right"),
-                F.substring("text", F.col("pos") + 1, F.lit(k)).alias("window"),
-                F.when(F.col("often"), F.transform(
-                    F.sequence(F.greatest(F.col("pos") - side, F.lit(0)), F.greatest(F.least(F.col("pos"), F.length("text") - self.span), F.lit(0))),
-                    lambda s: F.struct(s.alias("start"), F.xxhash64(F.substring("text", s + 1, F.lit(self.span)), F.crc32(F.substring("text", s + 1, F.lit(self.span)))).alias("g")),
-                )).alias("spans"),
-            )
-        )
-        around = cut(around)
-        few = around.where(~F.col("often")).select("h", "tid", "pos", "new", "left", "right", "window")
-        a, b = (few.select("h", "window", *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "pos", "new", "left", "right")]) for x in "ab")
-        pair = a.join(b, ["h", "window"]).where("tid_a < tid_b AND (new_a OR new_b)")
-        pair = pair.withColumn("l", common_prefix(F.col("left_a"), F.col("left_b"), side)).withColumn("r", common_prefix(F.col("right_a"), F.col("right_b"), side)).where(F.col("l") + F.col("r") + k >= self.span)
-        ends = [(F.col(f"pos_{x}") - F.col("l")).alias(f"start_{x}") for x in "ab"] + [(F.col(f"pos_{x}") + k + F.col("r")).alias(f"end_{x}") for x in "ab"]
-        direct = pair.select("tid_a", "tid_b", *ends)
-
-        spans = around.where("often").select("tid", "new", F.explode("spans").alias("s")).select("tid", "new", "s.g", "s.start").groupBy("g", "tid", "new").agg(F.min("start").alias("start"))
+        # Whether one text or more hold a fingerprint is told by hashes of their ids, which cost less to compare than the ids.
+        told = [F.count("*").alias("n"), F.min(F.xxhash64("tid")).alias("lo"), F.max(F.xxhash64("tid")).alias("hi")]
+        groups = fresh.groupBy("h").agg(*told)
+        for _, run, _ in self.runs:
+            if run != new:
+                met = self.spark.table(run).join(fresh.select("h").distinct().hint("merge"), "h", "left_semi")
+                groups = groups.unionByName(met.groupBy("h").agg(*told))
+        shared = groups.groupBy("h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
+        shared = cut(shared.select("h", (F.col("n") > self.hot).alias("often")))
+        spots = None
+        for _, run, texts in self.runs:  # a run's texts lie in its own table, which is bucketed by their ids
+            own = self.spark.table(run).join(shared.hint("merge"), "h").withColumn("new", F.lit(run == new)).repartition(self.buckets, "tid")
+            own = own.join(self.spark.table(texts).hint("merge"), "tid")
+            spots = own if spots is None else spots.unionByName(own)
+        found = self._direct(spots.where("NOT often"))
+        if not shared.where("often").isEmpty():
+            found = found.unionByName(self._by_whole_spans(spots.where("often")))
+        return found
+
+    def _direct(self, spots: DataFrame) -> DataFrame:
+        """Pairs of occurrences of one fingerprint, grown to both sides as far as a span of the full length around it can reach."""
+        k, side, pos = self.k, self.w - 1, F.col("pos")
+        left = F.reverse(F.substring("text", F.greatest(pos - side, F.lit(0)) + 1, F.least(pos, F.lit(side))))
+        few = spots.select("h", "tid", "pos", "new", left.alias("left"), F.substring("text", pos + 1, F.lit(k + side)).alias("right")).repartition(self.buckets, "h")
+        a, b = (few.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "pos", "new", "left", "right")]) for x in "ab")
+        pair = a.join(b.hint("merge"), "h").where("tid_a < tid_b AND (new_a OR new_b)")
+        pair = pair.withColumn("r", common_prefix(F.col("right_a"), F.col("right_b"), k + side)).where(F.col("r") >= k)
+        pair = pair.withColumn("l", common_prefix(F.col("left_a"), F.col("left_b"), side)).where(F.col("l") + F.col("r") >= self.span)
+        ends = [(F.col(f"pos_{x}") - F.col("l")).alias(f"start_{x}") for x in "ab"] + [(F.col(f"pos_{x}") + F.col("r")).alias(f"end_{x}") for x in "ab"]
+        return pair.select("tid_a", "tid_b", *ends)
+
+    def _by_whole_spans(self, spots: DataFrame) -> DataFrame:
+        """Occurrences of frequent fingerprints, matched by the spans of full length around them."""
+        side, pos = self.w - 1, F.col("pos")
+        starts = F.sequence(F.greatest(pos - side, F.lit(0)), F.greatest(F.least(pos, F.length("text") - self.span), F.lit(0)))
+        piece = lambda s: F.substring("text", s + 1, F.lit(self.span))
+        spans = spots.select("tid", "new", "text", F.explode(starts).alias("start")).select("tid", "new", "start", F.xxhash64(piece(F.col("start")), F.crc32(piece(F.col("start")))).alias("g"))
+        spans = cut(spans.groupBy("g", "tid", "new").agg(F.min("start").alias("start")))
         members = spans.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("tid").cast("decimal(20,0)")).alias("sum"), F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("n > 1")
         # Neighbouring spans of one long passage have the same members; one of them stands for all.
         one = members.groupBy("n", "sum", "lo", "hi").agg(F.min("g").alias("g")).select("g")
         spans = spans.join(one, "g", "left_semi")
         a, b = (spans.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "start", "new")]) for x in "ab")
         ends = [(F.col(f"start_{x}") + self.span).alias(f"end_{x}") for x in "ab"]
-        whole = a.join(b, "g").where("tid_a < tid_b AND (new_a OR new_b)").select("tid_a", "tid_b", "start_a", "start_b", *ends)
-        return direct.unionByName(whole)
+        return a.join(b, "g").where("tid_a < tid_b AND (new_a OR new_b)").select("tid_a", "tid_b", "start_a", "start_b", *ends)
 
 
 def text_id(text: Column) -> Column:
