@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators import history
-from attesta.session import table
+from attesta import oracles
+from attesta.functions import refs, text
+from attesta.functions.filters import all_of, where
+from attesta.operators import corpus, history, metrics, quotes, retrieve
+from attesta.session import shared_dir, table
+from attesta.sources import files
+from attesta.streaming import events as streams
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,40 +27,408 @@ def p2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.replayed_history(table(spark, sf_dir, "status_updates")).select("doc_id", "ref_key", "version", *history.FIELDS, *shown, "is_current")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.one_chunk_each(table(spark, sf_dir, "chunks"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings")
+
+
+# Corpus
+
+
+def corpus_documents(spark, sf_dir):
+    return corpus.document_stats(_chunks(spark, sf_dir))
+
+
+def corpus_rollup(spark, sf_dir):
+    return corpus.rollup(_chunks(spark, sf_dir), "act_code", "status", "ref_key_alt")
+
+
+def corpus_unverified(spark, sf_dir):
+    state = F.lower(F.trim(F.coalesce("verification_status", F.lit("unverified"))))
+    rows = table(spark, sf_dir, "sources").select("doc_id", "doc_type", state.alias("state")).distinct()
+    return rows.groupBy("doc_type").agg(F.count("*").alias("n"), F.count_if(F.col("state") != "verified").alias("unverified"))
+
+
+def browse_page(spark, sf_dir):
+    return corpus.browse(_chunks(spark, sf_dir), {"status": "in_force"}, words="section [0-9]+", limit=40, offset=20).select("chunk_id", "doc_id", "seq", "ref_key")
+
+
+def passage_slices(spark, sf_dir):
+    return corpus.passages(table(spark, sf_dir, "sources")).distinct()
+
+
+def passage_check(spark, sf_dir):
+    """Chunks whose text is not the passage that the stored text has at their place."""
+    stored = corpus.passages(table(spark, sf_dir, "sources")).select("chunk_id", F.md5("passage").alias("stored")).distinct()
+    own = _chunks(spark, sf_dir).select("chunk_id", F.md5("text").alias("own"))
+    return own.join(stored, "chunk_id", "left").where("stored IS NULL OR own != stored").select("chunk_id", F.col("stored").isNull().alias("no_source"))
+
+
+def chunk_offsets(spark, sf_dir):
+    return corpus.offsets(_chunks(spark, sf_dir).where("text IS NOT NULL")).select("chunk_id", "part_no", "start_at", "end_at")
+
+
+def stale_offsets(spark, sf_dir):
+    """Chunks whose stored offsets do not fit the length of their text."""
+    rows = _chunks(spark, sf_dir)
+    return rows.where("char_start IS NULL OR char_end IS NULL OR char_end - char_start != length(text)").select("chunk_id", "char_start", "char_end", F.length("text").alias("n_chars"))
+
+
+def chunk_carry(spark, sf_dir):
+    rows = corpus.carried(_chunks(spark, sf_dir).where("text IS NOT NULL")).select("chunk_id", "with_carry")
+    return rows.select("chunk_id", F.md5("with_carry").alias("carry_hash"), F.length("with_carry").alias("n_chars"))
+
+
+def chunk_metadata(spark, sf_dir):
+    rows = corpus.with_defaults(_chunks(spark, sf_dir), table(spark, sf_dir, "sources"))
+    return rows.select("chunk_id", "doc_type", "status", "verification_status", corpus.source_label(rows).alias("label"))
+
+
+def metadata_violations(spark, sf_dir):
+    return corpus.violations(corpus.with_defaults(_chunks(spark, sf_dir), table(spark, sf_dir, "sources")))
+
+
+def neighbour_read(spark, sf_dir):
+    rows = _chunks(spark, sf_dir).select("chunk_id", "doc_id", "seq")
+    return corpus.neighbours(rows.where("seq % 5 = 0"), rows, 1)
+
+
+def document_order(spark, sf_dir):
+    """Titles of all acts in the order of their id."""
+    return table(spark, sf_dir, "acts").select("doc_id", "act_code", "title", F.size("names").alias("n_names")).orderBy("doc_id")
+
+
+# Filters
+
+
+def filter_and_or(spark, sf_dir):
+    spec = {"$and": [{"l_shipdate": {"$gte": "1999-01-01"}}, {"$or": [{"l_quantity": {"$lt": 5}}, {"l_discount": {"$gt": 0.08}}]}, {"l_returnflag": {"$in": ["A", "R"]}}]}
+    return table(spark, sf_dir, "lineitem").where(where(spec)).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+
+
+def filter_not_in(spark, sf_dir):
+    spec = all_of({"o_orderpriority": {"$nin": ["5-LOW", "1-URGENT"]}}, None, {"o_totalprice": {"$lte": 50000.0}}, {"o_orderstatus": {"$ne": "F"}})
+    return table(spark, sf_dir, "orders").where(where(spec)).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def filter_contains(spark, sf_dir):
+    spec = {"$and": [{"text": {"$contains": "shall"}}, {"text": {"$not_contains": "Rs "}}, {"source": {"$eq": "gazette"}}]}
+    return table(spark, sf_dir, "documents").where(where(spec)).select("doc_id", "n_chars")
+
+
+def keyword_regex(spark, sf_dir):
+    return retrieve.keyword(_chunks(spark, sf_dir), "text", pattern=r"licen[cs]e[\s\S]{0,80}months").select("chunk_id")
+
+
+def keyword_phrase(spark, sf_dir):
+    return retrieve.keyword(table(spark, sf_dir, "documents"), "text", phrase="in good faith").select("doc_id")
+
+
+def qualified_provisions(spark, sf_dir):
+    """Provisions that narrow a rule, and those that speak of recent change."""
+    rows = _chunks(spark, sf_dir)
+    return rows.select("chunk_id", F.col("text").rlike(text.QUALIFIER).alias("qualified"), F.col("text").rlike(text.RECENT).alias("recent")).where("qualified OR recent")
+
+
+# References
+
+
+def _names(spark, sf_dir):
+    return refs.act_names(table(spark, sf_dir, "acts"))
+
+
+def ref_labels(spark, sf_dir):
+    rows = _chunks(spark, sf_dir).where("ref_key IS NOT NULL AND ref_key != ''").select("ref_key").distinct()
+    return rows.select("ref_key", refs.label(F.col("ref_key")).alias("label"), F.array_join(refs.parents(F.col("ref_key")), ",").alias("parents"))
+
+
+def ref_roundtrip(spark, sf_dir):
+    """Keys written out as references, parsed again; the act is named by its longest name."""
+    acts = table(spark, sf_dir, "acts").select("act_code", F.element_at("names", 1).alias("name"))
+    rows = _chunks(spark, sf_dir).where("ref_key != ''").select("ref_key").distinct().withColumn("act_code", F.regexp_extract("ref_key", "^([^:]+):", 1)).join(F.broadcast(acts), "act_code")
+    unit = F.when(F.col("ref_key").rlike(":A"), "Article ").otherwise("Section ")
+    written = F.concat(unit, F.regexp_replace("ref_key", "^[^:]+:[SA]", ""), F.lit(" of the "), F.initcap("name"))
+    rows = rows.withColumn("written", written)
+    return rows.select("ref_key", refs.ref_key(refs.parsed(F.col("written"), refs.act_code(F.col("written"), _names(spark, sf_dir)))).alias("parsed_key"))
+
+
+def ref_mentions(spark, sf_dir):
+    return refs.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "acts"), "act_code")
+
+
+def alias_closure(spark, sf_dir):
+    keys = table(spark, sf_dir, "equivalences").select(F.col("a").alias("ref_key"))
+    return refs.closure(keys, table(spark, sf_dir, "equivalences"))
+
+
+def ref_lookup(spark, sf_dir):
+    keys = table(spark, sf_dir, "equivalences").select(F.col("a").alias("ref_key"))
+    return retrieve.lookup(keys, _chunks(spark, sf_dir), table(spark, sf_dir, "equivalences"))
+
+
+# Terms and retrieval
+
+
+def idf_table(spark, sf_dir):
+    return retrieve.idf(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))
+
+
+def distinctive_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n = docs.where("text IS NOT NULL").count()
+    out = retrieve.distinctive(table(spark, sf_dir, "eval_items"), "item_id", "text", retrieve.idf(docs, "doc_id", "text"), n)
+    return out.withColumn("idf", F.round("idf", 6))
+
+
+def content_tokens(spark, sf_dir):
+    rows = table(spark, sf_dir, "eval_items").select("item_id", F.explode(F.expr(text.content_tokens("text"))).alias("term"))
+    return rows.distinct()
+
+
+def numeric_tokens(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("chunk_id", F.array_join(F.expr(text.numeric_tokens("text")), " ").alias("numbers"))
+
+
+def ngram_overlap(spark, sf_dir):
+    """Jaccard of the character 5-grams of each quote and its source."""
+    rows = table(spark, sf_dir, "quotes").select("quote_id", "source", "quote").distinct()
+    a, b = F.expr(text.char_ngrams("source")), F.expr(text.char_ngrams("quote"))
+    return rows.select("quote_id", F.round(text.jaccard(a, b), 6).alias("similarity"))
+
+
+def level1_hashes(spark, sf_dir):
+    rows = table(spark, sf_dir, "quotes").select("quote_id", F.expr(text.level1("quote")).alias("f")).distinct()
+    return rows.select("quote_id", F.sha1("f").alias("h1"), F.sha1(F.expr(text.level2("f"))).alias("h2"))
+
+
+def hash_dedup(spark, sf_dir):
+    return retrieve.same_text(_chunks(spark, sf_dir), "chunk_id", "text")
+
+
+def query_fingerprints(spark, sf_dir):
+    """Each different search once: tool and arguments by hash."""
+    rows = table(spark, sf_dir, "events").select("event_type", "props", F.sha1(F.concat_ws(":", "event_type", "props")).alias("fingerprint"))
+    return rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("event_type").alias("event_type"), F.min("props").alias("props"))
+
+
+def dense_topk(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return retrieve.nearest(rows.where("vec_id % 20 = 0"), rows)
+
+
+def dense_topk_filtered(spark, sf_dir):
+    """Only vectors of the labels 0 to 2 are searched."""
+    rows = _vectors(spark, sf_dir)
+    return retrieve.nearest(rows.where("vec_id % 20 = 0"), rows.where(F.col("label").between(0, 2)), top=5)
+
+
+def vector_norms(spark, sf_dir):
+    doubled = F.transform("embedding", lambda x: x.cast("double") * 2)
+    unit = retrieve.normalised_vector(doubled)
+    return _vectors(spark, sf_dir).select("vec_id", F.round(retrieve.dot(unit, unit), 6).alias("norm"), F.round(unit[0], 6).alias("first"))
+
+
+def _hits(spark, sf_dir):
+    """Hits of three routes for each query document: vectors, a phrase, and the act of the query."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "act_code", "text")
+    dense = dense_topk(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), F.lit("dense").alias("route"), F.col("similarity").alias("dense"))
+    query = dense.select("query_id").distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("act_code").alias("asked")), "query_id", "left")
+    found = dense.join(docs, "doc_id", "left").join(query, "query_id")
+    flags = [F.coalesce(F.col("act_code") == F.col("asked"), F.lit(False)).alias("ref_hit"), F.coalesce(F.col("text").contains("in good faith"), F.lit(False)).alias("exact_hit"), F.lit(False).alias("is_web"), F.lit(False).alias("is_neighbour")]
+    base = found.select("query_id", "doc_id", "route", "dense", *flags)
+    near = base.select("query_id", (F.col("doc_id") + 1).alias("doc_id"), F.lit("neighbour").alias("route"), F.lit(0.0).alias("dense"), F.lit(False).alias("ref_hit"), F.lit(False).alias("exact_hit"), F.lit(False).alias("is_web"), F.lit(True).alias("is_neighbour"))
+    return base.unionByName(near)
+
+
+def fusion_pool(spark, sf_dir):
+    return retrieve.fuse(_hits(spark, sf_dir), key="doc_id")
+
+
+def term_coverage(spark, sf_dir):
+    """How much of each quote's terms its source holds."""
+    rows = table(spark, sf_dir, "quotes").select("quote_id", "source", "quote").distinct()
+    return retrieve.coverage(rows, rows.select("quote_id", "source"), "quote_id", "quote", "source")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion_pool(spark, sf_dir)
+
+
+# Quotes
+
+
+def quote_tiers(spark, sf_dir):
+    """Quotes that stand in their source as they are or but for punctuation."""
+    return quotes.matched(table(spark, sf_dir, "quotes")).where("tier IN ('exact', 'normalized')").select("quote_id", "tier")
+
+
+def quote_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "quotes")
+    out = quotes.guarded(rows, quotes.matched(rows))
+    return out.withColumn("guards", F.array_join("guards", ","))
+
+
+def quote_guards(spark, sf_dir):
+    """Differences in numbers and negations between quote and source."""
+    rows = quotes.levels(table(spark, sf_dir, "quotes").dropDuplicates(["quote_id"]))
+    same = F.expr(text.numeric_tokens("q1")) == F.expr(text.numeric_tokens("s1"))
+    return rows.select("quote_id", same.alias("same_numbers"), F.expr(text.negation_count("q2")).alias("quote_negations"), F.expr(text.negation_count("s2")).alias("source_negations"))
+
+
+def _checked(spark, sf_dir):
+    rows = table(spark, sf_dir, "quotes")
+    out = quotes.guarded(rows, quotes.matched(rows)).join(rows.select("quote_id", "genuine").dropDuplicates(["quote_id"]), "quote_id")
+    return out.withColumn("blocked", F.array_contains("guards", "number_mismatch") | F.array_contains("guards", "quote_too_short"))
+
+
+def threshold_sweep(spark, sf_dir):
+    return quotes.sweep(_checked(spark, sf_dir), blocked="blocked")
+
+
+def guard_contribution(spark, sf_dir):
+    """Quotes that are not genuine, similar enough, and only refused by a guard."""
+    return _checked(spark, sf_dir).where("NOT genuine AND similarity >= 0.95 AND blocked").select("quote_id", "similarity", F.array_join("guards", ",").alias("guards"))
+
+
+def ngram_sweep(spark, sf_dir):
+    """The sweep over n-gram similarity."""
+    rows = ngram_overlap(spark, sf_dir).join(table(spark, sf_dir, "quotes").select("quote_id", "genuine").distinct(), "quote_id")
+    return quotes.sweep(rows)
+
+
+def source_cover(spark, sf_dir):
+    """The part of each stored text that its chunks cover."""
+    rows = table(spark, sf_dir, "sources").select("doc_id", F.length("text").alias("size"), F.explode("chunks").alias("c")).distinct()
+    rows = rows.select("doc_id", "size", F.col("c.char_start").alias("s"), F.col("c.char_end").alias("e"))
+    return quotes.covered_share(rows, "doc_id", "s", "e", "size")
+
+
+def evidence_packet(spark, sf_dir):
+    """The ranked evidence of each query as one numbered text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(text.truncate(text.squash("text"), 80)).alias("shown"))
+    rows = fusion_pool(spark, sf_dir).where("rank <= 6").join(docs, "doc_id")
+    line = F.concat(F.lit("E"), F.col("rank").cast("string"), F.lit(": "), F.coalesce("shown", F.lit("")))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("packet"))
+
+
+# Events
+
+
+def request_metrics(spark, sf_dir):
+    return metrics.totals(_events(spark, sf_dir))
+
+
+def request_percentiles(spark, sf_dir):
+    return metrics.percentiles(_events(spark, sf_dir))
+
+
+def request_percentiles_by_type(spark, sf_dir):
+    return metrics.percentiles(_events(spark, sf_dir), "event_type")
+
+
+def request_by_type(spark, sf_dir):
+    return metrics.by_group(_events(spark, sf_dir), "event_type")
+
+
+def request_by_class(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("class", F.concat(F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("string"), F.lit("x")))
+    return rows.groupBy("class").agg(F.count("*").alias("n"))
+
+
+def ring_last_n(spark, sf_dir):
+    return metrics.last_n(_events(spark, sf_dir), 500).select("event_id", "event_type", "value")
+
+
+def ring_last_n_by_user(spark, sf_dir):
+    return metrics.last_n(_events(spark, sf_dir), 3, "user_id").select("user_id", "age", "event_id")
+
+
+def window_recent(spark, sf_dir):
+    return metrics.totals(metrics.recent(_events(spark, sf_dir), 24 * 60, "2024-01-15 00:00:00"))
+
+
+def events_since(spark, sf_dir):
+    return metrics.since(_events(spark, sf_dir), 5000, "cl", 200).select("event_id", "event_type", "user_id")
+
+
+def event_numbers(spark, sf_dir):
+    return metrics.numbered(_events(spark, sf_dir)).select("event_id", "user_id", "seq")
+
+
+def user_state(spark, sf_dir):
+    return metrics.latest(_events(spark, sf_dir)).select("user_id", "last_type", "last_event", "n")
+
+
+def expired_users(spark, sf_dir):
+    return metrics.expired(metrics.latest(_events(spark, sf_dir)), 60, "2024-01-30 00:00:00").select("user_id", "last_event")
+
+
+def hourly_windows(spark, sf_dir):
+    return metrics.per_window(_events(spark, sf_dir))
+
+
+def user_sessions(spark, sf_dir):
+    return metrics.sessions(_events(spark, sf_dir)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+def capped_details(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", metrics.capped(F.concat(F.lit('{"type":"'), F.col("event_type"), F.lit('","props":'), F.col("props"), F.lit("}")), 34).alias("detail"))
+
+
+def redacted_details(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", metrics.redacted(F.create_map(F.lit("Token"), F.col("props"), F.lit("type"), F.col("event_type")), most=4).alias("m"))
+    return rows.select("event_id", F.col("m")["Token"].alias("token"), F.col("m")["type"].alias("type"))
+
+
+def run_log_roundtrip(spark, sf_dir):
+    """Runs of each user written to the log by day and listed again."""
+    folder = f"{shared_dir(spark)}/runs-{uuid4().hex}"
+    state = metrics.latest(_events(spark, sf_dir))
+    runs = state.select(F.col("user_id").cast("string").alias("id"), F.date_format("last_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("recordedAt"), F.col("last_type").alias("status"), F.struct(F.concat(F.lit("last event "), F.col("last_event").cast("string")).alias("text")).alias("input"))
+    files.append_runs(runs, folder)
+    return files.list_runs(spark, folder, 100).select("id", "recordedAt", "status", "preview", "events")
+
+
+def stream_windows(spark, sf_dir):
+    """The hourly windows kept up by a stream; those that the watermark has closed come out."""
+    out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    rows = streams.drained(streams.windowed(streams.event_stream(spark, sf_dir)), out, "complete")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select("window_start", "event_type", "n", "errors", "total")
+
+
+def stream_dedup(spark, sf_dir):
+    out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    rows = streams.drained(streams.deduplicated(streams.event_stream(spark, sf_dir)), out)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+def stream_user_state(spark, sf_dir):
+    out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    rows = streams.drained(streams.keyed_state(streams.event_stream(spark, sf_dir)), out, "update")
+    return rows.groupBy("user_id").agg(F.max_by("last_type", "n").alias("last_type"), F.max_by("last_event", "n").alias("last_event"), F.max("n").alias("n"))
+
+
+_PLAIN = [
+    corpus_documents, corpus_rollup, corpus_unverified, browse_page, passage_slices, passage_check, chunk_offsets, stale_offsets, chunk_carry, chunk_metadata,
+    metadata_violations, neighbour_read, document_order, filter_and_or, filter_not_in, filter_contains, keyword_regex, keyword_phrase, qualified_provisions, ref_labels,
+    ref_roundtrip, ref_mentions, alias_closure, ref_lookup, idf_table, distinctive_terms, content_tokens, numeric_tokens, ngram_overlap, level1_hashes, hash_dedup,
+    query_fingerprints, dense_topk, dense_topk_filtered, vector_norms, fusion_pool, term_coverage, quote_tiers, quote_check, quote_guards, threshold_sweep,
+    guard_contribution, ngram_sweep, source_cover, evidence_packet, request_metrics, request_percentiles, request_percentiles_by_type, request_by_type,
+    request_by_class, ring_last_n, ring_last_n_by_user, window_recent, events_since, event_numbers, user_state, expired_users, hourly_windows, user_sessions,
+    capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_dedup, stream_user_state,
+]
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_versions": p2_versions}
-
-
-_DATE = """CASE WHEN regexp_matches({c}, '^\\d{{4}}-') THEN {c} WHEN regexp_matches({c}, '^\\d{{4}}/') THEN replace({c}, '/', '-')
- WHEN regexp_matches({c}, '^\\d{{8}}$') THEN strftime(strptime({c}, '%Y%m%d'), '%Y-%m-%d') WHEN regexp_matches({c}, '^\\d+-\\d+-\\d{{4}}$') THEN strftime(strptime({c}, '%d-%m-%Y'), '%Y-%m-%d')
- WHEN regexp_matches({c}, '^\\d+\\.') THEN strftime(strptime({c}, '%d.%m.%Y'), '%Y-%m-%d') ELSE coalesce(strftime(try_strptime({c}, '%d %B %Y'), '%Y-%m-%d'), strftime(try_strptime({c}, '%d %b %Y'), '%Y-%m-%d'), lower({c})) END"""
-_VALUES = {
-    "status": "regexp_replace(lower(trim(status)), '[ _-]+', '_', 'g')",
-    "effective_from": _DATE.format(c="trim(effective_from)"),
-    "effective_to": _DATE.format(c="trim(effective_to)"),
-    "struck_down_by": "lower(trim(regexp_replace(struck_down_by, '\\s+', ' ', 'g')))",
-}
-_VERSIONS = (
-    "WITH one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ref_key, recorded_at ORDER BY update_id DESC, arrived_at DESC) AS rn FROM status_updates), told AS (SELECT doc_id, ref_key, recorded_at, "
-    + ", ".join(f"CASE WHEN row_kind = 'update' AND {c} IS NULL THEN NULL WHEN {c} IS NULL OR trim({c}) IN ('', '-') THEN '' ELSE {v} END AS {c}" for c, v in _VALUES.items())
-    + " FROM one WHERE rn = 1), st AS (SELECT doc_id, ref_key, recorded_at, "
-    + ", ".join(f"nullif(last_value({c} IGNORE NULLS) OVER w, '') AS {c}" for c in _VALUES)
-    + " FROM told WINDOW w AS (PARTITION BY doc_id, ref_key ORDER BY recorded_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), ch AS (SELECT *, lag(recorded_at) OVER o AS was, "
-    + ", ".join(f"lag({c}) OVER o AS l_{c}" for c in _VALUES)
-    + " FROM st WINDOW o AS (PARTITION BY doc_id, ref_key ORDER BY recorded_at)), v AS (SELECT * FROM ch WHERE was IS NULL OR "
-    + " OR ".join(f"{c} IS DISTINCT FROM l_{c}" for c in _VALUES)
-    + ") "
-)
+    return {f.__name__: f for f in (p2_found, p2_versions, *_PLAIN)}
 
 
 def oracle_sql() -> dict[str, str]:
-    at = "strftime(recorded_at, '%Y-%m-%d %H:%M:%S')"
-    after = f"lead({at}) OVER (PARTITION BY doc_id, ref_key ORDER BY recorded_at)"
-    return {
-        "p2_found": _VERSIONS + f"SELECT doc_id, ref_key, {at} AS valid_from FROM v",
-        "p2_versions": _VERSIONS + f"SELECT doc_id, ref_key, CAST(row_number() OVER (PARTITION BY doc_id, ref_key ORDER BY recorded_at) AS INTEGER) AS version, {', '.join(_VALUES)}, {at} AS valid_from, {after} AS valid_to, {after} IS NULL AS is_current FROM v",
-    }
+    return oracles.oracle_sql()
