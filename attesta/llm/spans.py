@@ -162,21 +162,39 @@ class SpanIndex:
                 groups = groups.unionByName(met.groupBy("h").agg(*told))
         shared = groups.groupBy("h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
         shared = cut(shared.select("h", (F.col("n") > self.hot).alias("often")))
-        spots = None
+        spots, often = None, not shared.where("often").isEmpty()
         for _, run, texts in self.runs:  # a run's texts lie in its own table, which is bucketed by their ids
-            own = self.spark.table(run).join(shared.hint("merge"), "h").withColumn("new", F.lit(run == new)).repartition(self.buckets, "tid")
-            own = own.join(self.spark.table(texts).hint("merge"), "tid")
+            own = self.spark.table(run).join(shared.hint("merge"), "h").select("h", "tid", "pos", "often").repartition(self.buckets, "tid")
+            # A text's fingerprints, at most as many as its characters, travel as one row, so that the text itself is handled once.
+            own = own.groupBy("tid").agg(F.collect_list("h").alias("h"), F.collect_list("pos").alias("pos"), F.collect_list("often").alias("often"))
+            own = own.join(self.spark.table(texts).hint("merge"), "tid").withColumn("new", F.lit(run == new))
             spots = own if spots is None else spots.unionByName(own)
-        found = self._direct(spots.where("NOT often"))
-        if not shared.where("often").isEmpty():
-            found = found.unionByName(self._by_whole_spans(spots.where("often")))
+        found = self._direct(spots)
+        if often:
+            places = spots.select("tid", "text", "new", F.explode(F.arrays_zip("pos", "often")).alias("p")).where("p.often").select("tid", "text", "new", "p.pos")
+            found = found.unionByName(self._by_whole_spans(places))
         return found
 
     def _direct(self, spots: DataFrame) -> DataFrame:
         """Pairs of occurrences of one fingerprint, grown to both sides as far as a span of the full length around it can reach."""
-        k, side, pos = self.k, self.w - 1, F.col("pos")
-        left = F.reverse(F.substring("text", F.greatest(pos - side, F.lit(0)) + 1, F.least(pos, F.lit(side))))
-        few = spots.select("h", "tid", "pos", "new", left.alias("left"), F.substring("text", pos + 1, F.lit(k + side)).alias("right")).repartition(self.buckets, "h")
+        k, side = self.k, self.w - 1
+
+        def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                owner, hs, at, left, right = [], [], [], [], []
+                for i, (h, pos, often, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h", "pos", "often", "text")))):
+                    for x, p, o in zip(h, pos, often):
+                        if not o:
+                            owner.append(i)
+                            hs.append(x)
+                            at.append(p)
+                            left.append(text[max(0, p - side) : p][::-1])
+                            right.append(text[p : p + k + side])
+                who = pa.array(owner, pa.int64())
+                columns = [pa.array(hs, pa.int64()), batch.column("tid").take(who), pa.array(at, pa.int32()), batch.column("new").take(who), pa.array(left, pa.string()), pa.array(right, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "tid", "pos", "new", "left", "right"])
+
+        few = spots.mapInArrow(around, "h long, tid binary, pos int, new boolean, left string, right string").repartition(self.buckets, "h")
         a, b = (few.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "pos", "new", "left", "right")]) for x in "ab")
         pair = a.join(b.hint("merge"), "h").where("tid_a < tid_b AND (new_a OR new_b)")
         pair = pair.withColumn("r", common_prefix(F.col("right_a"), F.col("right_b"), k + side)).where(F.col("r") >= k)
