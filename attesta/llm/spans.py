@@ -91,7 +91,7 @@ def common_prefix(a: Column, b: Column, most: int) -> Column:
     def grown(size: Column, step: Column) -> Column:
         return F.when((size + step <= room) & (F.substring(a, size + 1, step) == F.substring(b, size + 1, step)), size + step).otherwise(size)
 
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), grown)
+    return F.when(a == b, F.length(a)).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), grown))
 
 
 @dataclass
