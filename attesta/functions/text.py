@@ -75,10 +75,21 @@ def numeric_tokens(text: str) -> str:
     return f"array_sort(filter(transform({tokens(text)}, t -> {_number('t')}), n -> n IS NOT NULL))"
 
 
+def sorted_terms(text: str) -> str:
+    """All content tokens, repeats among them, in alphabetical order."""
+    return f"array_sort(transform(filter({tokens(text)}, t -> length(t) >= 3 AND NOT array_contains({_list(STOPWORDS)}, t)), t -> {stem('t')}))"
+
+
+def term_set(text: Column) -> Column:
+    """The distinct terms of ``sorted_terms``, in near linear time (array_distinct compares all pairs of strings)."""
+    return F.filter(text, lambda t, i: (i == 0) | (t != F.try_element_at(text, i)))
+
+
 def char_ngrams(text: str, n: int = 5) -> str:
-    """Distinct substrings of n characters of the squashed lower-cased text; none for shorter texts."""
+    """The 64-bit hashes of the distinct substrings of n characters of the squashed lower-cased text; none for shorter texts. Hashes, as sets of numbers are
+    compared in linear time. For texts of the length of a quote."""
     s = rf"trim(regexp_replace(lower({text}), '\\s+', ' '))"
-    return f"CASE WHEN length({s}) >= {n} THEN array_distinct(transform(sequence(1, length({s}) - {n - 1}), i -> substring({s}, i, {n}))) ELSE array() END"
+    return f"CASE WHEN length({s}) >= {n} THEN array_distinct(transform(sequence(1, length({s}) - {n - 1}), i -> xxhash64(substring({s}, i, {n})))) ELSE CAST(array() AS ARRAY<BIGINT>) END"
 
 
 def squash(text: str) -> str:
@@ -108,7 +119,8 @@ def level2(folded: str) -> str:
 
 
 def negation_count(folded: str) -> str:
-    return rf"regexp_count({folded}, '\\b({'|'.join(NEGATIONS)})\\b')"
+    """Words of a text of level 2 that turn a statement round."""
+    return f"size(filter(split({folded}, ' '), w -> array_contains({_list(NEGATIONS)}, w)))"
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -14,8 +14,11 @@ THRESHOLDS = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.99)
 
 def levels(rows: DataFrame, source: str = "source", quote: str = "quote") -> DataFrame:
     """rows with s1, q1 (level 1) and s2, q2 (level 2) of both texts."""
-    rows = rows.withColumns({"s1": F.expr(text.level1(source)), "q1": F.expr(text.level1(quote))})
-    return rows.withColumns({"s2": F.expr(text.level2("s1")), "q2": F.expr(text.level2("q1"))})
+    # One-element explodes keep the long expressions from being copied into every place that uses them.
+    one = F.explode(F.array(F.struct(F.expr(text.level1(source)).alias("s1"), F.expr(text.level1(quote)).alias("q1"))))
+    rows = rows.withColumn("l1", one).withColumns({"s1": F.col("l1.s1"), "q1": F.col("l1.q1")}).drop("l1")
+    two = F.explode(F.array(F.struct(F.expr(text.level2("s1")).alias("s2"), F.expr(text.level2("q1")).alias("q2"))))
+    return rows.withColumn("l2", two).withColumns({"s2": F.col("l2.s2"), "q2": F.col("l2.q2")}).drop("l2")
 
 
 def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quote: str = "quote") -> DataFrame:

@@ -12,7 +12,8 @@ WEIGHTS = {"dense": 0.5, "ref": 0.3, "exact": 0.2, "web": 0.10, "neighbour": 0.0
 
 def idf(docs: DataFrame, key: str, column: str) -> DataFrame:
     """(term, df, idf): ln((N + 1) / (df + 1)) + 1 over all documents with a text. The number of documents is one value, counted once."""
-    rows = docs.where(F.col(column).isNotNull()).select(key, F.expr(text.content_tokens(column)).alias("terms"))
+    sorted_terms = F.explode(F.array(F.expr(text.sorted_terms(column))))
+    rows = docs.where(F.col(column).isNotNull()).select(key, sorted_terms.alias("all_terms")).select(key, text.term_set(F.col("all_terms")).alias("terms"))
     n = docs.where(F.col(column).isNotNull()).count()
     counted = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return counted.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1)) + 1)
@@ -88,7 +89,7 @@ def fuse(hits: DataFrame, query: str = "query_id", key: str = "chunk_id", most:
         F.max("dense").alias("dense"), F.bool_or("ref_hit").alias("ref_hit"), F.bool_or("exact_hit").alias("exact_hit"), F.bool_or("is_web").alias("is_web"),
         F.bool_and("is_neighbour").alias("is_neighbour"), F.concat_ws(",", F.array_sort(F.collect_set("route"))).alias("routes"),
     )
-    one = one.withColumn("score", F.round(score(*[F.col(c) for c in ("dense", "ref_hit", "exact_hit", "is_web", "is_neighbour")], weights), 6))
+    one = one.withColumn("score", F.round(score(*[F.col(c) for c in ("dense", "ref_hit", "exact_hit", "is_web", "is_neighbour")], weights), 7))
     order = Window.partitionBy(query).orderBy(F.col("score").desc(), key)
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
@@ -108,7 +109,8 @@ def coverage(items: DataFrame, candidates: DataFrame, key: str, item_text: str,
     words = F.transform(F.expr(text.content_tokens(item_text)), lambda t: F.struct(t.alias("term"), F.lit(1).alias("weight")))
     numbers = F.transform(F.array_distinct(F.expr(text.numeric_tokens(text.level1(item_text)))), lambda t: F.struct(t.alias("term"), F.lit(2).alias("weight")))
     terms = items.select(key, F.explode_outer(F.concat(words, numbers)).alias("t")).select(key, "t.term", "t.weight").distinct()
-    held = candidates.select(key, F.expr(text.level2(text.level1(candidate_text))).alias("folded"), F.expr(text.numeric_tokens(text.level1(candidate_text))).alias("numbers"))
+    held = candidates.select(key, F.explode(F.array(F.expr(text.level1(candidate_text)))).alias("f1"))
+    held = held.select(key, F.expr(text.level2("f1")).alias("folded"), F.expr(text.numeric_tokens("f1")).alias("numbers"))
     met = terms.join(held, key).where(F.when(F.col("weight") == 1, F.col("folded").contains(F.col("term"))).otherwise(F.array_contains("numbers", F.col("term")))).select(key, "term", "weight").distinct()
     total = terms.groupBy(key).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("total"))
     got = met.groupBy(key).agg(F.sum("weight").alias("covered"))

@@ -199,8 +199,8 @@ def numeric_tokens(spark, sf_dir):
 def ngram_overlap(spark, sf_dir):
     """Jaccard of the character 5-grams of each quote and its source."""
     rows = table(spark, sf_dir, "quotes").select("quote_id", "source", "quote").distinct()
-    a, b = F.expr(text.char_ngrams("source")), F.expr(text.char_ngrams("quote"))
-    return rows.select("quote_id", F.round(text.jaccard(a, b), 6).alias("similarity"))
+    grams = F.explode(F.array(F.struct(F.expr(text.char_ngrams("source")).alias("a"), F.expr(text.char_ngrams("quote")).alias("b"))))
+    return rows.select("quote_id", grams.alias("g")).select("quote_id", F.round(text.jaccard(F.col("g.a"), F.col("g.b")), 6).alias("similarity"))
 
 
 def level1_hashes(spark, sf_dir):
