@@ -208,14 +208,19 @@ class SpanIndex:
         starts = F.sequence(F.greatest(pos - side, F.lit(0)), F.greatest(F.least(pos, F.length("text") - self.span), F.lit(0)))
         piece = lambda s: F.substring("text", s + 1, F.lit(self.span))
         spans = spots.select("tid", "new", "text", F.explode(starts).alias("start")).select("tid", "new", "start", F.xxhash64(piece(F.col("start")), F.crc32(piece(F.col("start")))).alias("g"))
-        spans = cut(spans.groupBy("g", "tid", "new").agg(F.min("start").alias("start")))
+        every = cut(spans.distinct())
+        spans = every.groupBy("g", "tid", "new").agg(F.min("start").alias("start"))
         members = spans.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.xxhash64("tid").cast("decimal(20,0)")).alias("sum"), F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("n > 1")
         # Neighbouring spans of one long passage have the same members; one of them stands for all.
         one = members.groupBy("n", "sum", "lo", "hi").agg(F.min("g").alias("g")).select("g")
         spans = spans.join(one, "g", "left_semi")
         a, b = (spans.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "start", "new")]) for x in "ab")
         ends = [(F.col(f"start_{x}") + self.span).alias(f"end_{x}") for x in "ab"]
-        return a.join(b, "g").where("tid_a < tid_b AND (new_a OR new_b)").select("tid_a", "tid_b", "start_a", "start_b", *ends)
+        pairs = a.join(b, "g").where("tid_a < tid_b AND (new_a OR new_b)").select("tid_a", "tid_b", "start_a", "start_b", *ends)
+        # What the pairs stand for covers more of the texts than the pairs show: every place of every shared span, as rows without a partner.
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("tid_b", "binary"), ("start_b", "int"), ("end_b", "int"))]
+        covered = every.join(members.select("g"), "g", "left_semi").select(F.col("tid").alias("tid_a"), F.col("start").alias("start_a"), (F.col("start") + self.span).alias("end_a"), *none)
+        return pairs.unionByName(covered.distinct())
 
 
 def text_id(text: Column) -> Column:
@@ -233,7 +238,7 @@ def shared_matches(batches: list[DataFrame], spark: SparkSession, span: int = 12
     """Add the batches (of ``parts_of``) to a new index one after the other.
 
     Returns the matches between different texts, and the members (rec, field, tid) of all texts. Records with the same text are members of one text and are not
-    listed as matches.
+    listed as matches. Rows without a second text only tell a part of a text that frequent spans cover.
     """
     index = SpanIndex(spark, span, **options)
     matches = None
@@ -251,7 +256,7 @@ def record_pairs(matches: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of records (rec_a < rec_b) that share a span in any of their fields, copies of one text among them."""
     held = members.select("rec", "tid").distinct()
     a, b = (held.select(F.col("rec").alias(f"r_{x}"), F.col("tid").alias(f"tid_{x}")) for x in "ab")
-    different = matches.select("tid_a", "tid_b").distinct().join(a, "tid_a").join(b, "tid_b")
+    different = matches.where("tid_b IS NOT NULL").select("tid_a", "tid_b").distinct().join(a, "tid_a").join(b, "tid_b")
     copies = a.join(b.withColumnRenamed("tid_b", "tid_a"), "tid_a").where("r_a < r_b")
     pairs = different.select("r_a", "r_b").unionByName(copies.select("r_a", "r_b")).where("r_a != r_b")
     return pairs.select(F.least("r_a", "r_b").alias("rec_a"), F.greatest("r_a", "r_b").alias("rec_b")).distinct()
@@ -264,7 +269,7 @@ def shared_cover(matches: DataFrame, members: DataFrame, texts: DataFrame) -> Da
     """
     from pyspark.sql import Window
 
-    spans = matches.select(F.col("tid_a").alias("tid"), F.col("start_a").alias("s"), F.col("end_a").alias("e")).unionByName(matches.select(F.col("tid_b").alias("tid"), F.col("start_b").alias("s"), F.col("end_b").alias("e"))).distinct()
+    spans = matches.select(F.col("tid_a").alias("tid"), F.col("start_a").alias("s"), F.col("end_a").alias("e")).unionByName(matches.select(F.col("tid_b").alias("tid"), F.col("start_b").alias("s"), F.col("end_b").alias("e"))).where("tid IS NOT NULL").distinct()
     # The spans of one text, at most one for each pair of its positions, merged in order.
     order = Window.partitionBy("tid").orderBy("s", "e")
     spans = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
