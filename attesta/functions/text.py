@@ -89,7 +89,9 @@ def char_ngrams(text: str, n: int = 5) -> str:
     """The 64-bit hashes of the distinct substrings of n characters of the squashed lower-cased text; none for shorter texts. Hashes, as sets of numbers are
     compared in linear time. For texts of the length of a quote."""
     s = rf"trim(regexp_replace(lower({text}), '\\s+', ' '))"
-    return f"CASE WHEN length({s}) >= {n} THEN array_distinct(transform(sequence(1, length({s}) - {n - 1}), i -> xxhash64(substring({s}, i, {n})))) ELSE CAST(array() AS ARRAY<BIGINT>) END"
+    grams = f"array_distinct(transform(sequence(1, length(s) - {n - 1}), i -> xxhash64(substring(s, i, {n}))))"
+    # The text is bound once by the outer lambda; inside the inner one it would be made anew for each place.
+    return f"transform(array({s}), s -> CASE WHEN length(s) >= {n} THEN {grams} ELSE CAST(array() AS ARRAY<BIGINT>) END)[0]"
 
 
 def squash(text: str) -> str:

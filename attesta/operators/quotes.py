@@ -34,12 +34,15 @@ def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quot
     hit = rows.where("tier != 'none'").select(key, "tier", F.lit(1.0).alias("similarity"), F.when(F.col("tier") == "exact", F.col("q1")).otherwise(F.col("q2")).alias("matched"))
     open_rows = rows.where("tier = 'none'")
     words = open_rows.select(key, F.filter(F.split("s2", " "), lambda w: w != "").alias("s"), F.filter(F.split("q2", " "), lambda w: w != "").alias("q")).where("size(s) > 0 AND size(q) > 0")
+    # Little data but much work a row: kept in as many tasks as shuffles have, which adaptive execution would otherwise merge into one.
+    words = words.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     n = F.size("q")
     widths = F.array_distinct(F.array(F.greatest(F.lit(1), F.floor(n * (1 - SLACK))).cast("int"), n, F.greatest(F.lit(1), F.ceil(n * (1 + SLACK))).cast("int")))
     places = words.select(key, "s", "q", F.posexplode(widths).alias("order", "width")).where("width <= size(s)")
     places = places.select(key, "s", "q", "order", "width", F.explode(F.sequence(F.lit(1), F.size("s") - F.col("width") + 1)).alias("at"))
     windows = places.select(key, "q", "order", "at", F.slice("s", F.col("at"), F.col("width")).alias("w"))
-    windows = windows.where(text.jaccard(F.array_distinct("q"), F.array_distinct("w")) >= PREFILTER).select(key, "order", "at", F.array_join("w", " ").alias("w"), F.array_join("q", " ").alias("q"))
+    both = F.size(F.array_intersect("q", "w"))  # of the distinct words; the union follows from the two sizes
+    windows = windows.withColumn("common", both).where(F.col("common") >= PREFILTER * (F.size(F.array_distinct("q")) + F.size(F.array_distinct("w")) - F.col("common"))).select(key, "order", "at", F.array_join("w", " ").alias("w"), F.array_join("q", " ").alias("q"))
     most = F.greatest(F.length("w"), F.length("q"))
     near = windows.withColumn("similarity", 1 - F.levenshtein("w", "q") / most).where(F.col("similarity") >= PARTIAL * 0.9)
     best = near.groupBy(key).agg(F.max_by(F.struct("similarity", "w"), F.struct("similarity", -F.col("order"), -F.col("at"))).alias("b"))
