@@ -26,9 +26,13 @@ def act_names(acts: DataFrame) -> list[tuple[str, str]]:
     return sorted({(r.name.lower(), r.act_code) for r in rows if r.name}, key=lambda x: (-len(x[0]), x))
 
 
-def _bounded(name: str) -> str:
-    body = r"\s+".join(map(re.escape, name.split()))
-    return (r"\b" if name[0].isalnum() else "") + body + (r"\b" if name[-1].isalnum() else "")
+def _pattern(names: list[str]) -> str:
+    """All names in one pattern, by their first character, so that a place in a text is tried against few of them. Names come the longest first."""
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        body = r"\s+".join(map(re.escape, name.split()))
+        groups.setdefault(name[0], []).append(body[len(re.escape(name[0])) :] + (r"\b" if name[-1].isalnum() else ""))
+    return r"(?<![A-Za-z0-9_])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")"
 
 
 def act_code(text: Column, names: list[tuple[str, str]]) -> Column:
@@ -37,11 +41,11 @@ def act_code(text: Column, names: list[tuple[str, str]]) -> Column:
     One pattern finds the names at hand; only of the texts that hold any the longest is told.
     """
     squashed = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[,’']", " "), r"\s+", " "))
-    pattern = "|".join(_bounded(n) for n, _ in names)
+    pattern = _pattern([n for n, _ in names])
     code = F.create_map(*[F.lit(x) for n, c in reversed(names) for x in (n, c)])
     found = F.array_distinct(F.transform(F.regexp_extract_all(squashed, F.lit(f"({pattern})"), 1), lambda x: F.regexp_replace(x, r"\s+", " ")))
     longest = F.aggregate(found, F.lit(""), lambda best, x: F.when((F.length(x) > F.length(best)) | ((F.length(x) == F.length(best)) & (x < best)), x).otherwise(best))
-    return F.when(longest != "", F.try_element_at(code, longest))
+    return F.try_element_at(code, longest)
 
 
 def parsed(raw: Column, act: Column) -> Column:

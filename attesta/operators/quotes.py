@@ -21,6 +21,15 @@ def levels(rows: DataFrame, source: str = "source", quote: str = "quote") -> Dat
     return rows.withColumn("l2", two).withColumns({"s2": F.col("l2.s2"), "q2": F.col("l2.q2")}).drop("l2")
 
 
+def tiered(rows: DataFrame, key: str = "quote_id", source: str = "source", quote: str = "quote") -> DataFrame:
+    """One row for each quote with its levels and tier: exact, normalized or none."""
+    # Little data but much work a row: kept in as many tasks as shuffles have, which adaptive execution would otherwise merge into one.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = levels(rows.select(key, F.col(source).alias("source"), F.col(quote).alias("quote")).repartition(parts, key).dropDuplicates([key]))
+    tier = F.when((F.length("q1") > 0) & (F.instr("s1", F.col("q1")) > 0), "exact").when((F.length("q2") > 0) & (F.instr("s2", F.col("q2")) > 0), "normalized").otherwise("none")
+    return rows.withColumn("tier", tier)
+
+
 def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quote: str = "quote") -> DataFrame:
     """(key, tier, similarity, matched): exact where the quote stands in the source at level 1, normalized at level 2, else the most similar run of words.
 
@@ -28,14 +37,10 @@ def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quot
     of their words with the quote, and compared by edit distance. Ties go to the narrowest width tried first and the first place. Null or empty texts and
     windows of less than 0.675 give tier none.
     """
-    rows = levels(rows.select(key, F.col(source).alias("source"), F.col(quote).alias("quote")).dropDuplicates([key]))
-    tier = F.when((F.length("q1") > 0) & (F.instr("s1", F.col("q1")) > 0), "exact").when((F.length("q2") > 0) & (F.instr("s2", F.col("q2")) > 0), "normalized").otherwise("none")
-    rows = rows.withColumn("tier", tier)
+    rows = tiered(rows, key, source, quote)
     hit = rows.where("tier != 'none'").select(key, "tier", F.lit(1.0).alias("similarity"), F.when(F.col("tier") == "exact", F.col("q1")).otherwise(F.col("q2")).alias("matched"))
     open_rows = rows.where("tier = 'none'")
     words = open_rows.select(key, F.filter(F.split("s2", " "), lambda w: w != "").alias("s"), F.filter(F.split("q2", " "), lambda w: w != "").alias("q")).where("size(s) > 0 AND size(q) > 0")
-    # Little data but much work a row: kept in as many tasks as shuffles have, which adaptive execution would otherwise merge into one.
-    words = words.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     n = F.size("q")
     widths = F.array_distinct(F.array(F.greatest(F.lit(1), F.floor(n * (1 - SLACK))).cast("int"), n, F.greatest(F.lit(1), F.ceil(n * (1 + SLACK))).cast("int")))
     places = words.select(key, "s", "q", F.posexplode(widths).alias("order", "width")).where("width <= size(s)")

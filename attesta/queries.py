@@ -266,7 +266,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quote_tiers(spark, sf_dir):
     """Quotes that stand in their source as they are or but for punctuation."""
-    return quotes.matched(table(spark, sf_dir, "quotes")).where("tier IN ('exact', 'normalized')").select("quote_id", "tier")
+    return quotes.tiered(table(spark, sf_dir, "quotes")).where("tier != 'none'").select("quote_id", "tier")
 
 
 def quote_check(spark, sf_dir):
