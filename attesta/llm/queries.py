@@ -31,6 +31,12 @@ def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_cover(*spans.shared_matches(batches, spark), batches[0].unionByName(batches[1]))
 
 
+def p3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each record that are shared elsewhere, with their place."""
+    batches = _span_batches(spark, sf_dir)
+    return spans.shared_passages(*spans.shared_matches(batches, spark), batches[0].unionByName(batches[1])).drop("tid")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neardup.pairs_of_records(*neardup.near_duplicates(table(spark, sf_dir, "chunks"), "chunk_id", "text"))
     return pairs.select(F.col("rec_a").alias("chunk_a"), F.col("rec_b").alias("chunk_b"))
@@ -103,7 +109,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p3_passages": p3_passages, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -200,7 +200,7 @@ class SpanIndex:
         pair = pair.withColumn("r", common_prefix(F.col("right_a"), F.col("right_b"), k + side)).where(F.col("r") >= k)
         pair = pair.withColumn("l", common_prefix(F.col("left_a"), F.col("left_b"), side)).where(F.col("l") + F.col("r") >= self.span)
         ends = [(F.col(f"pos_{x}") - F.col("l")).alias(f"start_{x}") for x in "ab"] + [(F.col(f"pos_{x}") + F.col("r")).alias(f"end_{x}") for x in "ab"]
-        return pair.select("tid_a", "tid_b", *ends)
+        return pair.select("tid_a", "tid_b", *ends, F.lit(None).cast("long").alias("g"))
 
     def _by_whole_spans(self, spots: DataFrame) -> DataFrame:
         """Occurrences of frequent fingerprints, matched by the spans of full length around them."""
@@ -216,10 +216,10 @@ class SpanIndex:
         spans = spans.join(one, "g", "left_semi")
         a, b = (spans.select("g", *[F.col(c).alias(f"{c}_{x}") for c in ("tid", "start", "new")]) for x in "ab")
         ends = [(F.col(f"start_{x}") + self.span).alias(f"end_{x}") for x in "ab"]
-        pairs = a.join(b, "g").where("tid_a < tid_b AND (new_a OR new_b)").select("tid_a", "tid_b", "start_a", "start_b", *ends)
-        # What the pairs stand for covers more of the texts than the pairs show: every place of every shared span, as rows without a partner.
+        pairs = a.join(b, "g").where("tid_a < tid_b AND (new_a OR new_b)").select("tid_a", "tid_b", "start_a", "start_b", *ends, F.lit(None).cast("long").alias("g"))
+        # What the pairs stand for covers more of the texts than the pairs show: every place of every shared span, as rows with the span's hash and no partner.
         none = [F.lit(None).cast(t).alias(n) for n, t in (("tid_b", "binary"), ("start_b", "int"), ("end_b", "int"))]
-        covered = every.join(members.select("g"), "g", "left_semi").select(F.col("tid").alias("tid_a"), F.col("start").alias("start_a"), (F.col("start") + self.span).alias("end_a"), *none)
+        covered = every.join(members.select("g"), "g", "left_semi").select(F.col("tid").alias("tid_a"), F.col("start").alias("start_a"), (F.col("start") + self.span).alias("end_a"), *none, "g")
         return pairs.unionByName(covered.distinct())
 
 
@@ -238,7 +238,7 @@ def shared_matches(batches: list[DataFrame], spark: SparkSession, span: int = 12
     """Add the batches (of ``parts_of``) to a new index one after the other.
 
     Returns the matches between different texts, and the members (rec, field, tid) of all texts. Records with the same text are members of one text and are not
-    listed as matches. Rows without a second text only tell a part of a text that frequent spans cover.
+    listed as matches. Rows without a second text only tell a part of a text that frequent spans cover; those with the same ``g`` hold the same span.
     """
     index = SpanIndex(spark, span, **options)
     matches = None
@@ -262,21 +262,43 @@ def record_pairs(matches: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select(F.least("r_a", "r_b").alias("rec_a"), F.greatest("r_a", "r_b").alias("rec_b")).distinct()
 
 
-def shared_cover(matches: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """For each field of each record: its length, how many of its characters other records hold too, and the number of separate shared passages.
+def shared_passages(matches: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rec, field, tid, n_chars, start, end): the separate passages of each field that other records hold too.
 
-    ``texts`` is (rec, field, tid, text). A text that another record holds as a whole is covered wholly.
+    ``texts`` is (rec, field, tid, text). What a record holds only in its own other fields is not shared. A text that another record holds as a whole is one
+    passage. Each span carries the least and greatest record that holds it elsewhere, which tells whether there is another record than the text's own.
     """
     from pyspark.sql import Window
 
-    spans = matches.select(F.col("tid_a").alias("tid"), F.col("start_a").alias("s"), F.col("end_a").alias("e")).unionByName(matches.select(F.col("tid_b").alias("tid"), F.col("start_b").alias("s"), F.col("end_b").alias("e"))).where("tid IS NOT NULL").distinct()
+    held = members.groupBy("tid").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
+    direct, often = matches.where("tid_b IS NOT NULL"), matches.where("tid_b IS NULL").select("g", F.col("tid_a").alias("tid"), F.col("start_a").alias("s"), F.col("end_a").alias("e")).distinct()
+    spans = None
+    for x, y in ("ab", "ba"):
+        one = direct.select(F.col(f"tid_{x}").alias("own"), F.col(f"start_{x}").alias("s"), F.col(f"end_{x}").alias("e"), F.col(f"tid_{y}").alias("tid"))
+        one = one.join(held, "tid").select(F.col("own").alias("tid"), "s", "e", "lo", "hi")
+        spans = one if spans is None else spans.unionByName(one)
+    holders = often.select("g", "tid").distinct().join(held, "tid").groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spans = spans.unionByName(often.join(holders, "g").select("tid", "s", "e", "lo", "hi")).groupBy("tid", "s", "e").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # Only the texts of one record are covered in part: those of several are covered wholly.
+    alone = held.where("lo = hi").select("tid", F.col("lo").alias("rec"))
+    spans = spans.join(alone, "tid").where("lo != rec OR hi != rec").select("tid", "s", "e")
     # The spans of one text, at most one for each pair of its positions, merged in order.
     order = Window.partitionBy("tid").orderBy("s", "e")
     spans = spans.withColumn("reach", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.greatest(F.col("e") - F.greatest(F.col("s"), F.coalesce("reach", F.lit(0))), F.lit(0))
-    cover = spans.groupBy("tid").agg(F.sum(fresh).cast("int").alias("covered"), F.sum((F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int")).cast("int").alias("passages"))
-    copied = members.groupBy("tid").agg((F.min("rec") != F.max("rec")).alias("copied"))
+    fresh = (F.col("reach").isNull() | (F.col("s") > F.col("reach"))).cast("int")
+    spans = spans.withColumn("passage", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = spans.groupBy("tid", "passage").agg(F.min("s").alias("start"), F.max("e").alias("end")).select("tid", "start", "end")
     rows = texts.select("rec", "field", "tid", F.length("text").alias("n_chars")).distinct()
-    out = rows.join(cover, "tid", "left").join(copied, "tid", "left")
-    whole = F.coalesce("copied", F.lit(False))
-    return out.select("rec", "field", "n_chars", F.when(whole, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("shared_chars"), F.when(whole, F.lit(1)).otherwise(F.coalesce("passages", F.lit(0))).alias("passages"))
+    whole = rows.join(held.where("lo != hi").select("tid"), "tid", "left_semi").select("rec", "field", "tid", "n_chars", F.lit(0).alias("start"), F.col("n_chars").alias("end"))
+    return rows.join(parts, "tid").select("rec", "field", "tid", "n_chars", "start", "end").unionByName(whole)
+
+
+def shared_cover(matches: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each field of each record: its length, how many of its characters other records hold too, and the number of separate shared passages.
+
+    ``texts`` is (rec, field, tid, text). A text that another record holds as a whole is covered wholly.
+    """
+    none = texts.select("rec", "field", "tid", F.length("text").alias("n_chars"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")).distinct()
+    rows = shared_passages(matches, members, texts).unionByName(none)
+    size = F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).cast("int")
+    return rows.groupBy("rec", "field", "tid", "n_chars").agg(size.alias("shared_chars"), F.count("start").cast("int").alias("passages")).drop("tid")

@@ -70,6 +70,31 @@ def test_shared_spans_equal_brute_force(spark, hot, fan):
             assert cover[str(i)] == len(held)
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_shared_cover_is_per_record(spark, hot):
+    rng = random.Random(8)
+    own, both, rest = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 200, 250))
+    quotes = [("q1", "x" * 30 + own, own[50:250]), ("q2", rest + both, "y" * 40), ("q3", both, both), ("q4", "z" + own[:130], None), ("q5", rest[:200], rest[:200])]
+    df = spark.createDataFrame(quotes, "id string, source string, quote string")
+    parts = [spans.parts_of(df.where("id < 'q3'"), "id", ["source", "quote"]), spans.parts_of(df.where("id >= 'q3'"), "id", ["source", "quote"])]
+    matches, members = spans.shared_matches(parts, spark, hot=hot)
+    texts = parts[0].unionByName(parts[1])
+    fields = {(r, f): t for r, *ts in quotes for f, t in zip(("source", "quote"), ts) if t and len(t) >= 120}
+    held = {}
+    for (r, _), t in fields.items():
+        for k in range(len(t) - 119):
+            held.setdefault(t[k : k + 120], set()).add(r)
+    want = {}
+    for (r, f), t in fields.items():
+        want[r, f] = {p for k in range(len(t) - 119) if held[t[k : k + 120]] != {r} for p in range(k, k + 120)}
+    assert 0 < len(want["q1", "source"]) < 200 and len(want["q1", "quote"]) == 0
+    assert {(r.rec, r.field): r.shared_chars for r in spans.shared_cover(matches, members, texts).collect()} == {k: len(v) for k, v in want.items()}
+    got = {}
+    for r in spans.shared_passages(matches, members, texts).collect():
+        got.setdefault((r.rec, r.field), set()).update(range(r.start, r.end))
+    assert got == {k: v for k, v in want.items() if v}
+
+
 # 4
 
 
