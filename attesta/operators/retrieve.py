@@ -73,6 +73,32 @@ def lookup(keys: DataFrame, chunks: DataFrame, equivalences: DataFrame) -> DataF
     return wanted.join(own, "alias").select("ref_key", "chunk_id").distinct()
 
 
+def hits_of_routes(dense: DataFrame, docs: DataFrame, queries: DataFrame, most: int = 40) -> DataFrame:
+    """Hits (query_id, doc_id, route, dense, ref_hit, exact_hit, is_web, is_neighbour) of four routes: nearest, act, phrase, and documents next to the nearest.
+
+    dense: (query_id, doc_id, similarity); docs: (doc_id, act_code, has_phrase); queries: (query_id). The queries' own documents are left out. An act may hold
+    a third of all documents and all queries ask for the phrase; but documents that only these routes find are ordered by their key among their like, so no
+    more than the first ``most`` of each kind can enter a list of ``most`` rows, and only these are joined. What the other routes find is looked up whole.
+    """
+    asked = queries.select("query_id").distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("act_code").alias("asked")), "query_id", "left")
+    beside = dense.select("query_id", F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("doc_id")).distinct()
+    beside = beside.join(docs.select("doc_id"), "doc_id").where("doc_id != query_id")
+    reached = dense.select("query_id", "doc_id").unionByName(beside).distinct().join(asked, "query_id").join(docs, "doc_id")
+    kind = Window.partitionBy("act_code", "has_phrase").orderBy("doc_id")
+    first = docs.where("act_code IS NOT NULL").withColumn("n", F.row_number().over(kind)).where(F.col("n") <= most + 1).drop("n")  # one may be the query's own
+    of_act = asked.join(first, F.col("asked") == F.col("act_code"))
+    of_phrase = asked.crossJoin(F.broadcast(docs.where("has_phrase").orderBy("doc_id").limit(most + 1)))
+    found = reached.unionByName(of_act).unionByName(of_phrase).where("doc_id != query_id").distinct()
+
+    def hits(rows: DataFrame, route: str, similarity: Column) -> DataFrame:
+        flags = [F.lit(route == r).alias(n) for r, n in (("ref", "ref_hit"), ("exact", "exact_hit"), ("web", "is_web"), ("neighbour", "is_neighbour"))]
+        return rows.select("query_id", "doc_id", F.lit(route).alias("route"), similarity.alias("dense"), *flags)
+
+    none = F.lit(0.0)
+    out = hits(dense, "dense", F.col("similarity")).unionByName(hits(beside, "neighbour", none))
+    return out.unionByName(hits(found.where("asked = act_code"), "ref", none)).unionByName(hits(found.where("has_phrase"), "exact", none))
+
+
 def score(dense: Column, ref: Column, exact: Column, web: Column, neighbour: Column, weights: dict[str, float] = WEIGHTS) -> Column:
     on = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     raw = weights["dense"] * F.coalesce(dense, F.lit(0.0)) + weights["ref"] * on(ref) + weights["exact"] * on(exact) - weights["web"] * on(web) - weights["neighbour"] * on(neighbour)

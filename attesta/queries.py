@@ -236,15 +236,12 @@ def vector_norms(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    """Hits of three routes for each query document: vectors, a phrase, and the act of the query."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "act_code", "text")
-    dense = dense_topk(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), F.lit("dense").alias("route"), F.col("similarity").alias("dense"))
-    query = dense.select("query_id").distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("act_code").alias("asked")), "query_id", "left")
-    found = dense.join(docs, "doc_id", "left").join(query, "query_id")
-    flags = [F.coalesce(F.col("act_code") == F.col("asked"), F.lit(False)).alias("ref_hit"), F.coalesce(F.col("text").contains("in good faith"), F.lit(False)).alias("exact_hit"), F.lit(False).alias("is_web"), F.lit(False).alias("is_neighbour")]
-    base = found.select("query_id", "doc_id", "route", "dense", *flags)
-    near = base.select("query_id", (F.col("doc_id") + 1).alias("doc_id"), F.lit("neighbour").alias("route"), F.lit(0.0).alias("dense"), F.lit(False).alias("ref_hit"), F.lit(False).alias("exact_hit"), F.lit(False).alias("is_web"), F.lit(True).alias("is_neighbour"))
-    return base.unionByName(near)
+    """Hits of four routes for each query document: vectors, the act of the query, a phrase, and the documents beside those that vectors find."""
+    phrase = F.coalesce(F.col("text").contains("in good faith"), F.lit(False)).alias("has_phrase")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "act_code", phrase)
+    dense = dense_topk(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
+    queries = _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    return retrieve.hits_of_routes(dense, docs, queries)
 
 
 def fusion_pool(spark, sf_dir):
