@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from attesta.functions import refs, text
 
 WEIGHTS = {"dense": 0.5, "ref": 0.3, "exact": 0.2, "web": 0.10, "neighbour": 0.05}
+STATUS_NOTES = {
+    "in_force": "currently in force",
+    "applies_to_prior_offences": "applies to offences before 1 July 2024; superseded for later ones",
+    "repealed": "repealed",
+    "struck_down": "struck down by a court and no longer in force",
+    "read_down": "read down or kept in abeyance by a court",
+    "amended": "amended",
+}
 
 
 def idf(docs: DataFrame, key: str, column: str) -> DataFrame:
@@ -120,6 +128,17 @@ def fuse(hits: DataFrame, query: str = "query_id", key: str = "chunk_id", most:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def evidence_block(rank: Column, label: Column, status: Column, passage: Column, most: int = 1600) -> Column:
+    """A numbered passage of at most ``most`` characters with its source and, where there is one, the note of its status."""
+    attribute = lambda c: F.regexp_replace(F.replace(c, F.lit('"'), F.lit("&quot;")), r"[\n\r]", " ")
+    notes = F.create_map(*[F.lit(x) for pair in STATUS_NOTES.items() for x in pair])
+    note = F.coalesce(F.try_element_at(notes, status), status, F.lit(""))
+    shown = F.coalesce(passage, F.lit(""))
+    shown = F.when(F.length(shown) > most, F.concat(F.left(shown, F.lit(most - 1)), F.lit("…"))).otherwise(shown)
+    told = F.when(note != "", F.concat(F.lit(' status="'), attribute(note), F.lit('"'))).otherwise("")
+    return F.concat(F.lit('<evidence id="E'), rank.cast("string"), F.lit('" source="'), attribute(F.coalesce(label, F.lit(""))), F.lit('"'), told, F.lit(">\n"), shown, F.lit("\n</evidence>"))
+
+
 def same_text(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, text_hash, first_key, copies): rows whose letters and digits are the same; grouped by hash, with the smallest key of each group."""
     hashed = rows.where(F.col(column).isNotNull()).select(key, F.sha1(F.expr(text.level2(text.level1(column)))).alias("text_hash"))

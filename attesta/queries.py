@@ -308,11 +308,14 @@ def source_cover(spark, sf_dir):
 
 
 def evidence_packet(spark, sf_dir):
-    """The ranked evidence of each query as one numbered text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(text.truncate(text.squash("text"), 80)).alias("shown"))
-    rows = fusion_pool(spark, sf_dir).where("rank <= 6").join(docs, "doc_id")
-    line = F.concat(F.lit("E"), F.col("rank").cast("string"), F.lit(": "), F.coalesce("shown", F.lit("")))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("packet"))
+    """The ranked evidence of each query as one text of numbered blocks. Documents have no status of their own."""
+    acts = table(spark, sf_dir, "acts").select("act_code", "title")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "act_code", "text", "doc_kind", "source").join(F.broadcast(acts), "act_code", "left")
+    rows = fusion_pool(spark, sf_dir).where("rank <= 6").select("query_id", "doc_id", "rank").join(docs, "doc_id", "left")
+    label = F.concat_ws(" — ", *[F.nullif(c, F.lit("")) for c in (F.coalesce("title", "source"), F.col("doc_kind"))])
+    block = retrieve.evidence_block(F.col("rank"), label, F.lit(None).cast("string"), F.col("text"))
+    blocks = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("blocks"))
+    return blocks.select("query_id", F.array_join(F.transform("blocks", lambda x: x["block"]), "\n\n").alias("packet"))
 
 
 # Events

@@ -31,3 +31,17 @@ def test_pool_holds_all_routes(spark, tmp_path):
         got.setdefault(r.query_id, []).append((r.doc_id, r.routes, round(r.score, 6)))
     assert got == want
     assert all(len(v) == 40 for v in got.values()) and max(d for d, _, _ in got[0]) >= 60
+
+
+def test_packet_keeps_whole_passages(spark, tmp_path):
+    long = "in good faith " + "w" * 2000
+    docs = [(i, "HTA" if i < 4 else None, long if i == 1 else "s" * 1600, "notice", "gazette") for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, act_code string, text string, doc_kind string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("HTA", 'The "Harbour" Tolls Act')], "act_code string, title string").write.parquet(str(tmp_path / "acts.parquet"))
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(9)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    (row,) = queries.evidence_packet(spark, str(tmp_path)).collect()
+    blocks = row.packet.split("\n\n")
+    assert len(blocks) == 6 and blocks[0] == '<evidence id="E1" source="The &quot;Harbour&quot; Tolls Act — notice">\n' + long[:1599] + "…\n</evidence>"
+    assert all(b.startswith(f'<evidence id="E{i}"') and b.endswith("\n" + "s" * 1600 + "\n</evidence>") for i, b in enumerate(blocks[1:], 2)) and 'source="gazette — notice"' in blocks[5]
+    shown = spark.range(3).select(retrieve.evidence_block(F.lit(1), F.lit("a"), F.element_at(F.array(F.lit("read_down"), F.lit("odd"), F.lit(None)), (F.col("id") + 1).cast("int")), F.lit(None)).alias("b")).collect()
+    assert [r.b.split(">")[0] for r in shown] == ['<evidence id="E1" source="a" status="read down or kept in abeyance by a court"', '<evidence id="E1" source="a" status="odd"', '<evidence id="E1" source="a"']
