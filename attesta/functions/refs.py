@@ -104,13 +104,13 @@ def mentions(df: DataFrame, key: str, text: str, acts: DataFrame, about: str | N
 def closure(keys: DataFrame, equivalences: DataFrame, key: str = "ref_key") -> DataFrame:
     """(key, alias): a key, its parents, and all that is equivalent to any of these.
 
-    An equivalence is stored once and holds both ways. As the reference table has chains, equivalents are followed until nothing new comes, at most eight steps.
+    An equivalence is stored once and holds both ways. As the reference table has chains, equivalents are followed until nothing new comes.
     """
     pairs = equivalences.select("a", "b").unionByName(equivalences.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct()
     start = keys.select(F.col(key).alias("root")).where("root IS NOT NULL AND root != ''").distinct()
     out = start.select("root", F.explode(F.concat(F.array("root"), parents(F.col("root")))).alias("alias"))
     step = out
-    for _ in range(8):
+    while True:
         step = cut(step.join(pairs.withColumnRenamed("a", "alias"), "alias").select("root", F.col("b").alias("alias")).join(out, ["root", "alias"], "left_anti").distinct())
         if step.isEmpty():
             break

@@ -101,8 +101,11 @@ def neighbour_read(spark, sf_dir):
 
 
 def document_order(spark, sf_dir):
-    """Titles of all acts in the order of their id."""
-    return table(spark, sf_dir, "acts").select("doc_id", "act_code", "title", F.size("names").alias("n_names")).orderBy("doc_id")
+    """Titles of all stored documents and acts in the order of their id."""
+    acts = table(spark, sf_dir, "acts").select("doc_id", "act_code", "title", F.size("names").alias("n_names"))
+    stored = table(spark, sf_dir, "sources").groupBy("doc_id").agg(F.max("act_code").alias("own_code"), F.max("doc_title").alias("own_title"))
+    rows = stored.join(acts, "doc_id", "full")
+    return rows.select("doc_id", F.coalesce("act_code", "own_code").alias("act_code"), F.coalesce("title", "own_title").alias("title"), F.coalesce("n_names", F.lit(0)).alias("n_names")).orderBy("doc_id")
 
 
 # Filters
@@ -163,14 +166,19 @@ def ref_mentions(spark, sf_dir):
     return refs.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "acts"), "act_code")
 
 
+def _keys(spark, sf_dir):
+    """All keys that chunks stand under, and both sides of all equivalences."""
+    own = _chunks(spark, sf_dir).select(F.explode(F.array("ref_key", "ref_key_alt")).alias("ref_key"))
+    paired = table(spark, sf_dir, "equivalences").select(F.explode(F.array("a", "b")).alias("ref_key"))
+    return own.unionByName(paired).where("ref_key != ''").distinct()
+
+
 def alias_closure(spark, sf_dir):
-    keys = table(spark, sf_dir, "equivalences").select(F.col("a").alias("ref_key"))
-    return refs.closure(keys, table(spark, sf_dir, "equivalences"))
+    return refs.closure(_keys(spark, sf_dir), table(spark, sf_dir, "equivalences"))
 
 
 def ref_lookup(spark, sf_dir):
-    keys = table(spark, sf_dir, "equivalences").select(F.col("a").alias("ref_key"))
-    return retrieve.lookup(keys, _chunks(spark, sf_dir), table(spark, sf_dir, "equivalences"))
+    return retrieve.lookup(_keys(spark, sf_dir), _chunks(spark, sf_dir), table(spark, sf_dir, "equivalences"))
 
 
 # Terms and retrieval
@@ -188,8 +196,10 @@ def distinctive_terms(spark, sf_dir):
 
 
 def content_tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "eval_items").select("item_id", F.explode(F.expr(text.content_tokens("text"))).alias("term"))
-    return rows.distinct()
+    """The terms of all documents and held-out passages."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("key"), "text")
+    items = table(spark, sf_dir, "eval_items").select(F.lit("eval_items").alias("tab"), F.col("item_id").alias("key"), "text")
+    return docs.unionByName(items).select("tab", "key", F.explode(F.expr(text.content_tokens("text"))).alias("term")).distinct()
 
 
 def numeric_tokens(spark, sf_dir):
