@@ -14,12 +14,16 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import md5
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from attesta.session import cut
 
@@ -59,17 +63,30 @@ _TOUCHED = frozenset(map(chr, TABLE))
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}]")
 _OWN = [regex.compile(rf"[\p{{{s}}}--[{''.join(CLASS_OF)}]]", regex.V1) for s in SCRIPTS]
+#: Longest run of characters between white space whose form is remembered, number of forms remembered, and of words that a task remembers to have told.
+REMEMBERED_CHARS, REMEMBERED, TOLD = 64, 1 << 17, 1 << 18
+
+
+def _fold_run(run: str) -> str:
+    """Layer 1 for a run of characters without white space."""
+    if not run.isascii():
+        if not _TOUCHED.isdisjoint(run):
+            run = run.translate(TABLE)
+        run = unicodedata.normalize("NFC", run)
+    elif not run.isprintable():
+        run = run.translate(TABLE)
+    return " ".join(run.split())
+
+
+_remembered = lru_cache(REMEMBERED)(_fold_run)
 
 
 def fold(text: str) -> str:
-    """Layer 1 for one text. An empty text stays empty."""
-    if not text.isascii():
-        if not _TOUCHED.isdisjoint(text):
-            text = text.translate(TABLE)
-        text = unicodedata.normalize("NFC", text)
-    elif not text.isprintable():
-        text = text.translate(TABLE)
-    return " ".join(text.split())
+    """Layer 1 for one text. An empty text stays empty. White space parts a text into runs that fold by themselves; most of them are seen again and again."""
+    runs = text.split()
+    if text.isascii() and text.isprintable():
+        return " ".join(runs)
+    return " ".join(filter(None, [_remembered(r) if len(r) <= REMEMBERED_CHARS else _fold_run(r) for r in runs]))
 
 
 def script_of(text: str) -> int | None:
@@ -117,9 +134,55 @@ def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="_words")
 
 
-def vocabulary_of(folded: DataFrame, column: str) -> DataFrame:
-    """The distinct words of a column, as ``word``; counted down inside each task before they are shuffled."""
-    return folded.select(F.explode(F.array_distinct(F.split(column, r"[^\p{L}\p{M}]+"))).alias("word")).distinct()
+def _scan(keys: pa.Schema):
+    """One pass over (keys, text): a row for each record with hashes of its text and of its folded text, the latter itself only where it may need repair, and
+    a row for each different word. A task tells a word once as long as it remembers it."""
+    schema = pa.schema([*keys, pa.field("own", pa.binary()), pa.field("form", pa.binary()), pa.field("folded", pa.string()), pa.field("word", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[str] = set()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            forms = [None if t is None else fold(t) for t in texts]
+            runs = [set() if f is None else set(f.split(" ")) for f in forms]
+            every = set().union(*runs)
+            suspect = {r for r in every if not r.isascii() and _OTHER.search(r)}
+            words = {w for r in every for w in ([r] if r.isalpha() else _WORD.findall(r))} - told
+            if len(told) >= TOLD:
+                told.clear()
+            told |= words
+            digest = lambda x: None if x is None else md5(x.encode("utf-8", "surrogatepass")).digest()
+            n = len(words)
+            columns = [pa.concat_arrays([batch.column(i), pa.nulls(n, f.type)]) for i, f in enumerate(keys)]
+            columns += [pa.array([digest(x) for x in side] + [None] * n, pa.binary()) for side in (texts, forms)]
+            columns.append(pa.array([None if suspect.isdisjoint(r) else f for r, f in zip(runs, forms)] + [None] * n, pa.string()))
+            columns.append(pa.array([None] * len(texts) + sorted(words), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def scanned(rows: DataFrame, text: str) -> DataFrame:
+    """rows without the text column but with ``own``, ``form`` (hashes), ``folded`` and ``word``; see _scan."""
+    keys = rows.drop(text)
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in keys.schema], *[T.StructField(n, t) for n, t in (("own", T.BinaryType()), ("form", T.BinaryType()), ("folded", T.StringType()), ("word", T.StringType()))]])
+    return rows.select(*keys.columns, text).mapInArrow(_scan(to_arrow_schema(keys.schema)), out)
+
+
+def approved_repairs(seen: DataFrame) -> DataFrame:
+    """(form, _words) for each folded text of ``scanned`` rows that needs repair: a map from its words to the repaired ones.
+
+    Few words are ever candidates; only these are looked up in the vocabulary of the corpus.
+    """
+    spelled = (
+        seen.where("folded IS NOT NULL").select("form", "folded").dropDuplicates(["form"])
+        .select("form", F.explode(repairs_udf("folded")).alias("r"))
+        .select("form", "r.word", "r.fixed")
+    )
+    ways = spelled.groupBy("fixed").agg(F.min("word").alias("first"), F.max("word").alias("last"))
+    known = seen.where("word IS NOT NULL").select(F.col("word").alias("fixed"), F.lit(True).alias("written")).distinct()
+    approved = ways.join(known, "fixed", "left").where(F.col("written") | (F.col("first") != F.col("last"))).select("fixed")
+    return spelled.join(approved, "fixed").groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("_words"))
 
 
 def same_look_form(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
@@ -130,27 +193,15 @@ def same_look_form(df: DataFrame, text: str = "text", out: str = "canonical") ->
     """
     if out in df.columns:
         raise ValueError(f"the table already has a column {out!r}")
-    clash = [c for c in df.columns if c.startswith("_canon") or c == "_words"]
+    clash = [c for c in df.columns if c in ("_canon", "_form", "_words")]
     if clash:
         raise ValueError(f"reserved column names: {clash}")
+    seen = cut(scanned(df.select(F.col(text).alias("_canon")), "_canon").where("folded IS NOT NULL OR word IS NOT NULL"))
     base = df.withColumn("_canon", fold_udf(F.col(text)))
     suspect = F.coalesce(F.col("_canon").rlike(OTHER_SCRIPTS), F.lit(False))
-    spelled = (
-        base.select("_canon").where(suspect).distinct()
-        .select(F.sha2("_canon", 256).alias("_canon_id"), F.explode(repairs_udf("_canon")).alias("r"))
-        .select("_canon_id", "r.word", "r.fixed")
-    )
-    ways = spelled.groupBy("fixed").agg(F.min("word").alias("first"), F.max("word").alias("last"))
-    known = vocabulary_of(base.select("_canon"), "_canon").withColumnRenamed("word", "fixed")
-    approved = (
-        ways.join(known.withColumn("written", F.lit(True)), "fixed", "left")
-        .where(F.col("written") | (F.col("first") != F.col("last")))
-        .select("fixed")
-    )
-    of_text = spelled.join(approved, "fixed").groupBy("_canon_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("_words"))
     columns = [F.col(c) for c in df.columns]
     clean = base.where(~suspect).select(*columns, F.col("_canon").alias(out))
-    mixed = base.where(suspect).withColumn("_canon_id", F.sha2("_canon", 256)).join(of_text, "_canon_id", "left").drop("_canon_id")
+    mixed = base.where(suspect).withColumn("_form", F.unhex(F.md5("_canon"))).join(approved_repairs(seen).withColumnRenamed("form", "_form"), "_form", "left").drop("_form")
     schema = df.select(*columns, F.lit("").alias("_canon")).schema
     return clean.unionByName(mixed.mapInPandas(_apply, schema).withColumnRenamed("_canon", out))
 
@@ -158,21 +209,24 @@ def same_look_form(df: DataFrame, text: str = "text", out: str = "canonical") ->
 def same_look_pairs(records: DataFrame, key: str, text: str, within: str) -> DataFrame:
     """Pairs (within, key_a < key_b) of records of one table whose texts look the same but are not the same characters.
 
-    Texts are compared by 128-bit hashes of their form and of their characters. Only different spellings are paired, and each spelling then stands for its
-    records, so exact copies, however many, are never paired with each other. Null texts are left out, repeated rows of one key count once.
+    Texts are read and folded once. They are compared by 128-bit hashes of their form and of their characters. Only different spellings are paired, and each
+    spelling then stands for its records, so exact copies, however many, are never paired with each other. Null texts and keys are left out, repeated rows of
+    one key count once.
     """
     rows = records.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(within).alias("tab"), F.col(key).alias("key"), F.col(text).alias("own_text"))
-    rows = cut(
-        same_look_form(rows, "own_text", "form")
-        .select("tab", "key", F.md5("form").alias("form"), F.md5("own_text").alias("own"))
-        .distinct()
-    )
+    seen = cut(scanned(rows, "own_text"))
+    # Texts whose repair was approved change their form; all others keep the one they were read with.
+    mixed = seen.where("folded IS NOT NULL").select("form", "folded").dropDuplicates(["form"]).join(approved_repairs(seen), "form")
+    mixed = mixed.select("form", F.col("folded").alias("_canon"), "_words").mapInPandas(_apply, "form binary, _canon string")
+    renamed = mixed.select(F.col("form").alias("old"), F.unhex(F.md5("_canon")).alias("new"))
+    rows = seen.where("own IS NOT NULL").select("tab", "key", "own", "form", F.col("folded").isNotNull().alias("suspect"))
+    moved = rows.where("suspect").join(renamed, F.col("form") == F.col("old"), "left").select("tab", "key", "own", F.coalesce("new", "form").alias("form"))
+    rows = rows.where("NOT suspect").drop("suspect").unionByName(moved)
+    many = rows.groupBy("tab", "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("tab", "form")
+    rows = cut(rows.join(many, ["tab", "form"], "left_semi").distinct())
     spellings = rows.select("tab", "form", "own").distinct()
-    many = spellings.groupBy("tab", "form").count().where("count > 1").select("tab", "form")
-    spellings = spellings.join(many, ["tab", "form"], "left_semi")
     a, b = (spellings.select("tab", "form", F.col("own").alias(f"own_{x}")) for x in "ab")
     pairs = a.join(b, ["tab", "form"]).where("own_a < own_b").select("tab", "own_a", "own_b")
     for x in "ab":
         pairs = pairs.join(rows.select("tab", F.col("own").alias(f"own_{x}"), F.col("key").alias(f"key_{x}")), ["tab", f"own_{x}"])
     return pairs.where("key_a != key_b").select("tab", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
-
