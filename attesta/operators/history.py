@@ -5,18 +5,20 @@ Raw changes are snapshots (all fields) or updates (changed fields only), late, r
 the new chains in place of the old ones. ``ChainStore`` keeps chains in files and swaps the touched ones in one step.
 
 An entity may hold any share of all rows: its chain is cut into time slices of bounded size, each slice is reduced to what it carries over (the last value
-set in each field), and only these summaries are scanned in order.
+set in each field), and only these summaries are scanned in order. ``ChangeLog`` keeps raw changes by entity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attesta.session import cut
+from attesta.session import cut, shared_dir
 
 #: What stands for "no value" in a snapshot.
 NO_VALUE = ("", "-")
@@ -151,12 +153,52 @@ def history_as_of(history: DataFrame, moment: Column) -> DataFrame:
     return history.where((F.col("valid_from") <= moment) & (F.col("valid_to").isNull() | (F.col("valid_to") > moment)))
 
 
+def _entity_bucket(entity: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*entity), F.lit(buckets)).cast("int")
+
+
+def _files(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _write_buckets(rows: DataFrame, to: str, mode: str = "errorifexists") -> None:
+    """rows by their ``_bucket``, few files for a small bucket and several for a large one."""
+    rows.hint("rebalance", "_bucket").write.mode(mode).partitionBy("_bucket").parquet(to)
+
+
+@dataclass
+class ChangeLog:
+    """Raw changes in files, in ``buckets`` folders by hash of the entity, so that the changes of a few entities are read without the others."""
+
+    spark: SparkSession
+    path: str
+    entity: Sequence[str] = ("doc_id", "ref_key")
+    buckets: int = 64
+    schema: T.StructType | None = None
+
+    def append(self, raw: DataFrame) -> None:
+        """Add raw changes. Rows without an entity belong to no chain and are left out."""
+        for key in self.entity:
+            raw = raw.where(F.col(key).isNotNull())
+        self.schema = raw.schema
+        _write_buckets(raw.withColumn("_bucket", _entity_bucket(self.entity, self.buckets)), self.path, "append")
+
+    def of(self, touched: DataFrame) -> DataFrame:
+        """All raw changes of the touched entities; only their buckets are read."""
+        hit = [r[0] for r in touched.select(_entity_bucket(self.entity, self.buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        reader = self.spark.read.schema(T.StructType([*self.schema, T.StructField("_bucket", T.IntegerType())])) if self.schema else self.spark.read
+        rows = reader.parquet(self.path).where(F.col("_bucket").isin(hit)).drop("_bucket")
+        return rows.join(touched.select(*self.entity).distinct(), list(self.entity), "left_semi")
+
+
 @dataclass
 class ChainStore:
     """Histories in files, in ``buckets`` folders by hash of the entity.
 
     A commit writes the buckets that hold touched chains under a new number and then one small list that names the number of each bucket. Readers take the last
-    complete list, so they see either all old chains or all new ones; a job that dies before its list is complete changes nothing.
+    complete list, so they see either all old chains or all new ones; a job that dies before its list is complete changes nothing. A bucket without any chain
+    left stands in no list. A store keeps the number of buckets that it was made with.
     """
 
     spark: SparkSession
@@ -164,67 +206,73 @@ class ChainStore:
     entity: Sequence[str] = ("doc_id", "ref_key")
     buckets: int = 64
 
-    def _fs(self, at: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def _numbers(self) -> list[int]:
         """Numbers of all complete commits."""
-        fs, path = self._fs(self.path)
+        fs, path = _files(self.spark, self.path)
         names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(n[6:]) for n in names if n.startswith("names-") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
+        return sorted(int(n[6:]) for n in names if n.startswith("names-") and fs.exists(_files(self.spark, f"{self.path}/{n}/_SUCCESS")[1]))
 
     def current(self) -> dict[int, int]:
         """The number under which each bucket was last written."""
         done = self._numbers()
-        return {r.bucket: r.number for r in self.spark.read.schema("bucket int, number int").json(f"{self.path}/names-{done[-1]}").collect()} if done else {}
+        rows = self.spark.read.schema("bucket int, number int, buckets int").json(f"{self.path}/names-{done[-1]}").collect() if done else []
+        if rows:
+            self.buckets = rows[0].buckets
+        return {r.bucket: r.number for r in rows if r.bucket is not None}
 
     def _next(self) -> int:
         """A number that no folder has, not even one left by a commit that died."""
-        fs, path = self._fs(f"{self.path}/chains")
+        fs, path = _files(self.spark, f"{self.path}/chains")
         used = [int(x.getPath().getName()[7:]) for x in fs.listStatus(path)] if fs.exists(path) else []
         return max(used, default=0) + 1
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.entity), F.lit(self.buckets)).cast("int")
+    def _read(self, now: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/chains/number={n}/_bucket={b}" for b, n in sorted(now.items())]
+        return self.spark.read.option("basePath", f"{self.path}/chains").parquet(*paths).drop("number", "_bucket") if paths else None
 
     def read(self) -> DataFrame | None:
-        """All chains, None before the first commit."""
-        paths = [f"{self.path}/chains/number={n}/bucket={b}" for b, n in sorted(self.current().items())]
-        return self.spark.read.option("basePath", f"{self.path}/chains").parquet(*paths).drop("number", "bucket") if paths else None
+        """All chains, None where there are none."""
+        return self._read(self.current())
 
     def commit(self, chains: DataFrame, touched: DataFrame | None = None) -> None:
-        """Put ``chains`` in place of the chains of the touched entities (None: of all entities)."""
-        now = self.current()
-        number = self._next()
-        rows = chains
-        if touched is not None and now:
-            hit = [r[0] for r in touched.select(self._bucket().alias("b")).distinct().collect()]  # at most ``buckets`` numbers
-            old = [f"{self.path}/chains/number={now[b]}/bucket={b}" for b in hit if b in now]
-            if old:
-                kept = self.spark.read.option("basePath", f"{self.path}/chains").parquet(*old).drop("number", "bucket")
-                rows = rows.unionByName(kept.join(touched.select(*self.entity).distinct(), list(self.entity), "left_anti"))
-        else:
+        """Put ``chains`` in place of the chains of the touched entities (None: of all entities). A touched entity without new chains loses its old ones."""
+        now, number, rows = self.current(), self._next(), chains
+        if touched is None:
             now = {}
+        elif now:
+            hit = [r[0] for r in touched.select(_entity_bucket(self.entity, self.buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+            old = self._read({b: now[b] for b in hit if b in now})
+            if old is not None:
+                rows = rows.unionByName(old.join(touched.select(*self.entity).distinct(), list(self.entity), "left_anti"))
+            now = {b: n for b, n in now.items() if b not in hit}
         to = f"{self.path}/chains/number={number}"
-        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(to)
-        fs, folder = self._fs(to)
+        _write_buckets(rows.withColumn("_bucket", _entity_bucket(self.entity, self.buckets)), to)
+        fs, folder = _files(self.spark, to)
         written = [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(folder) if "=" in x.getPath().getName()]
-        names = now | dict.fromkeys(written, number)
-        if not names:
-            return
-        self.spark.createDataFrame(sorted(names.items()), "bucket int, number int").coalesce(1).write.json(f"{self.path}/names-{number}")
+        names = [(b, n, self.buckets) for b, n in sorted((now | dict.fromkeys(written, number)).items())] or [(None, number, self.buckets)]
+        self.spark.createDataFrame(names, "bucket int, number int, buckets int").coalesce(1).write.json(f"{self.path}/names-{number}")
 
 
-def replayed_history(raw: DataFrame, late_days: int = 90) -> DataFrame:
+def replayed_history(raw: DataFrame, late_days: int = 90, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """The history of a table of raw changes, made as in daily work: chains from what had arrived ``late_days`` before the last arrival, then one rebuild of
-    the chains touched by everything that came after."""
+    the chains touched by everything that came after.
+
+    Raw changes and chains are kept in a folder (a new one in the shared folder, if none is given), in as many buckets as the session has shuffle
+    partitions. Of the raw changes only those of touched entities are read again, and their chains are replaced in one commit.
+    """
+    spark = raw.sparkSession
     last = raw.agg(F.max("arrived_at")).first()[0]
     if last is None:
         return build_history(changes(raw))
-    border = F.lit(last) - F.expr(f"interval {int(late_days)} days")
-    early = raw.where(F.col("arrived_at").isNull() | (F.col("arrived_at") <= border))
-    late = raw.where(F.col("arrived_at") > border)
-    all_changes = cut(changes(raw))
-    return rebuild_affected(build_history(changes(early)), all_changes, late.where(F.col("doc_id").isNotNull() & F.col("ref_key").isNotNull()))
+    path = path or f"{shared_dir(spark)}/history-{uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    log, store = ChangeLog(spark, f"{path}/raw", buckets=buckets), ChainStore(spark, f"{path}/store", buckets=buckets)
+    in_time = F.coalesce(F.col("arrived_at") <= F.lit(last) - F.expr(f"interval {int(late_days)} days"), F.lit(True))
+    early, late = raw.where(in_time), raw.where(~in_time)
+    log.append(early)
+    store.commit(build_history(changes(early)))
+    log.append(late)
+    touched = cut(late.select("doc_id", "ref_key").where("doc_id IS NOT NULL AND ref_key IS NOT NULL").distinct())
+    store.commit(build_history(changes(log.of(touched))), touched)
+    chains = store.read()
+    return build_history(changes(raw.limit(0))) if chains is None else chains

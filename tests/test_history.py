@@ -79,6 +79,8 @@ def test_rebuild_equals_full(spark):
 def test_empty_and_nulls(spark):
     assert history.build_history(history.changes(spark.createDataFrame([], SCHEMA))).count() == 0
     assert history.replayed_history(spark.createDataFrame([], SCHEMA)).count() == 0
+    lost = [(1, None, "K", "update", "x", None, None, None, T0, T0, "")]
+    assert history.replayed_history(spark.createDataFrame(lost, SCHEMA)).count() == 0
     odd = [(None, "d", "K", "snapshot", None, None, None, None, T0, None, None), (1, None, "K", "update", "x", None, None, None, T0, T0, ""), (2, "d", "K", None, "x", None, None, None, None, T0, "")]
     out = history.build_history(history.changes(spark.createDataFrame(odd, SCHEMA))).collect()
     assert [(r.doc_id, r.ref_key, r.status) for r in out] == [("d", "K", None)]
@@ -97,3 +99,38 @@ def test_chain_store(spark, tmp_path):
     anew = history.build_history(history.changes(raw).join(touched, ["doc_id", "ref_key"], "left_semi"))
     store.commit(anew, touched)
     assert found(store.read()) == expected(data) != before
+
+
+def test_chain_store_drops_a_chain(spark, tmp_path):
+    store = history.ChainStore(spark, str(tmp_path / "chains"), buckets=4)
+    data = [r for r in rows(60, 9) if r[2] in ("K1", "K2")]
+    store.commit(history.build_history(history.changes(spark.createDataFrame(data, SCHEMA))))
+    for gone in ("K1", "K2"):
+        touched = spark.createDataFrame([("d", gone)], "doc_id string, ref_key string")
+        store.commit(store.read().limit(0), touched)
+        left = store.read()
+        assert gone not in {r.ref_key for r in left.collect()} if left is not None else gone == "K2"
+    assert store.read() is None
+
+
+def test_change_log_reads_only_the_touched(spark, tmp_path):
+    log = history.ChangeLog(spark, str(tmp_path / "raw"), buckets=8)
+    data = rows(100, 4) + [(9999, None, "K1", "update", "x", None, None, None, T0, T0, "")]
+    for part in (data[:60], data[60:]):
+        log.append(spark.createDataFrame(part, SCHEMA))
+    got = log.of(spark.createDataFrame([("d", "K2"), ("d", "K9")], "doc_id string, ref_key string"))
+    assert sorted(r.update_id for r in got.collect()) == sorted(r[0] for r in data if r[2] == "K2" and r[1])
+
+
+def test_as_of(spark):
+    data = rows(80, 6)
+    chains = history.build_history(history.changes(spark.createDataFrame(data, SCHEMA)))
+    moment = T0 + timedelta(hours=30)
+    from pyspark.sql import functions as F
+
+    got = history.history_as_of(chains, F.lit(moment))
+    last = {}
+    for v in sorted(expected(data)):
+        if v[2] <= moment:
+            last[v[:2]] = v
+    assert found(got) == set(last.values())
