@@ -77,22 +77,21 @@ def changes(
     Each field becomes a struct {v} that is null where the change leaves the field as it is, and holds null where it removes the value. Rows without an
     entity key or time are left out, as they belong to no chain; a null ``order`` comes last.
     """
-    snapshot = F.lower(F.col(kind)) == "snapshot"
-
-    def told(name: str, clean) -> Column:
-        value = F.col(name)
-        empty = F.coalesce(squashed(value).isin(*NO_VALUE), F.lit(False)) | value.isNull()
-        inner = F.struct(F.when(~empty, clean(value)).alias("v"))
-        return F.when(snapshot | value.isNotNull(), inner).alias(name)
-
     rank = [F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))] + ([F.col(arrived)] if arrived else [])
-    body = F.struct(*(told(n, f) for n, f in fields.items()))
     rows = raw.where(F.col(at).isNotNull())
     for key in entity:
         rows = rows.where(F.col(key).isNotNull())
-    # Ties are settled by the content as well, so that the result never depends on the order of rows.
-    last = F.max(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], F.to_json(body).alias("tie"), body.alias("body"))).alias("last")
-    return rows.groupBy(*entity, F.col(at).alias("at")).agg(last).select(*entity, "at", *[F.col(f"last.body.{n}").alias(n) for n in fields])
+    # Ties are settled by the content as well, so that the result never depends on the order of rows. Only the rows that count are cleaned.
+    last = F.max(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], F.col(kind).alias("kind"), *[F.col(n).alias(f"f_{n}") for n in fields])).alias("last")
+    rows = rows.groupBy(*entity, F.col(at).alias("at")).agg(last)
+    snapshot = F.coalesce(F.lower(F.col("last.kind")) == "snapshot", F.lit(False))
+
+    def told(name: str, clean) -> Column:
+        value = F.col(f"last.f_{name}")
+        empty = value.isNull() | squashed(value).isin(*NO_VALUE)
+        return F.when(snapshot | value.isNotNull(), F.struct(F.when(~empty, clean(value)).alias("v"))).alias(name)
+
+    return rows.select(*entity, "at", *(told(n, f) for n, f in fields.items()))
 
 
 def _sliced(rows: DataFrame, entity: Sequence[str], slice_rows: int) -> DataFrame:
