@@ -99,13 +99,18 @@ def _top(rows: str, k: int) -> str:
 
 
 _PAIRS = "pr AS (SELECT a, b FROM equivalences UNION SELECT b, a FROM equivalences)"
-_CLOSURE = _PAIRS + r""", st AS (SELECT DISTINCT a AS ref_key FROM equivalences), cl AS (SELECT ref_key, ref_key AS alias FROM st UNION SELECT ref_key, regexp_replace(ref_key, '\(\w+\)$', '') FROM st
+_KEYS = "SELECT ref_key FROM ch UNION SELECT ref_key_alt FROM ch UNION SELECT a FROM equivalences UNION SELECT b FROM equivalences"
+_CLOSURE = f"{_CHUNKS}, {_PAIRS}, st AS (SELECT ref_key FROM ({_KEYS}) WHERE ref_key <> ''), " + r"""cl AS (SELECT ref_key, ref_key AS alias FROM st UNION SELECT ref_key, regexp_replace(ref_key, '\(\w+\)$', '') FROM st
  UNION SELECT ref_key, regexp_replace(regexp_replace(ref_key, '\(\w+\)$', ''), '\(\w+\)$', '') FROM st UNION SELECT cl.ref_key, pr.b FROM cl JOIN pr ON cl.alias = pr.a)"""
 _FUSED = (
-    "hits AS (SELECT d.query_id, d.vec_id AS doc_id, d.similarity AS dense, coalesce(x.act_code = y.act_code, false) AS ref_hit, coalesce(contains(x.text, 'in good faith'), false) AS exact_hit, false AS near FROM ("
+    "dn AS (SELECT query_id, vec_id AS doc_id, similarity FROM ("
     + _top(_DENSE, 8)
-    + ") d LEFT JOIN documents x ON x.doc_id = d.vec_id LEFT JOIN documents y ON y.doc_id = d.query_id), both_routes AS (SELECT * FROM hits UNION ALL SELECT query_id, doc_id + 1, 0.0, false, false, true FROM hits), "
-    "one AS (SELECT query_id, doc_id, max(dense) AS dense, bool_or(ref_hit) AS ref_hit, bool_or(exact_hit) AS exact_hit, false AS is_web, bool_and(near) AS is_neighbour, string_agg(DISTINCT CASE WHEN near THEN 'neighbour' ELSE 'dense' END, ',' ORDER BY CASE WHEN near THEN 'neighbour' ELSE 'dense' END) AS routes FROM both_routes GROUP BY ALL), "
+    + ")), qs AS (SELECT vec_id AS query_id, d.act_code AS asked FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id WHERE vec_id % 20 = 0), "
+    "bs AS (SELECT DISTINCT query_id, d.doc_id FROM dn JOIN documents d ON d.doc_id = dn.doc_id - 1 OR d.doc_id = dn.doc_id + 1 WHERE d.doc_id <> query_id), "
+    "rf AS (SELECT query_id, doc_id FROM qs JOIN documents ON act_code = asked WHERE doc_id <> query_id), "
+    "ex AS (SELECT query_id, doc_id FROM qs, documents WHERE contains(text, 'in good faith') AND doc_id <> query_id), "
+    "hits AS (SELECT query_id, doc_id, 'dense' AS route, similarity AS dense FROM dn UNION ALL SELECT query_id, doc_id, 'neighbour', 0 FROM bs UNION ALL SELECT query_id, doc_id, 'ref', 0 FROM rf UNION ALL SELECT query_id, doc_id, 'exact', 0 FROM ex), "
+    "one AS (SELECT query_id, doc_id, max(dense) AS dense, bool_or(route = 'ref') AS ref_hit, bool_or(route = 'exact') AS exact_hit, false AS is_web, bool_and(route = 'neighbour') AS is_neighbour, string_agg(route, ',' ORDER BY route) AS routes FROM hits GROUP BY ALL), "
     "sc AS (SELECT *, round(greatest(0, least(1, 0.5::DOUBLE * dense + 0.3::DOUBLE * ref_hit::INT + 0.2::DOUBLE * exact_hit::INT - 0.05::DOUBLE * is_neighbour::INT)), 7) AS score FROM one), "
     "fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc)"
 )
@@ -143,8 +148,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_carry": f"WITH {_CHUNKS}, ca AS (SELECT chunk_id, CASE WHEN lag(text) OVER w IS NULL THEN text ELSE '…' || right(lag(text) OVER w, 150) || ' ' || text END AS t FROM ch WHERE text IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT chunk_id, md5(t) AS carry_hash, CAST(length(t) AS INTEGER) AS n_chars FROM ca",
         "chunk_metadata": f"WITH {_META} SELECT chunk_id, doc_type, status, verification_status, concat_ws(' — ', nullif(doc_title, ''), {_UNIT}, nullif(heading, '')) AS label FROM md",
         "metadata_violations": f"WITH {_META} SELECT chunk_id, 'status' AS problem FROM md WHERE status NOT IN ({statuses}) UNION ALL SELECT chunk_id, 'no_key' FROM md WHERE ref_key = '' AND para_no = '' UNION ALL SELECT chunk_id, 'no_title' FROM md WHERE doc_title = '' UNION ALL SELECT chunk_id, 'dates' FROM md WHERE effective_to <> '' AND effective_from <> '' AND effective_to < effective_from",
-        "neighbour_read": f"WITH {_CHUNKS} SELECT a.chunk_id AS anchor_id, c.chunk_id, c.seq, c.seq = a.seq AS is_anchor FROM ch a JOIN ch c ON c.doc_id = a.doc_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1 WHERE a.seq % 5 = 0",
-        "document_order": "SELECT doc_id, act_code, title, CAST(len(names) AS INTEGER) AS n_names FROM acts ORDER BY doc_id",
+        "neighbour_read": f"WITH {_CHUNKS} SELECT a.chunk_id AS anchor_id, c.chunk_id, c.seq, c.seq = a.seq AS is_anchor FROM ch a JOIN ch c ON c.doc_id = a.doc_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1",
+        "document_order": "SELECT doc_id, coalesce(a.act_code, s.code) AS act_code, coalesce(a.title, s.title) AS title, CAST(coalesce(len(names), 0) AS INTEGER) AS n_names FROM (SELECT doc_id, max(act_code) AS code, max(doc_title) AS title FROM sources GROUP BY doc_id) s FULL JOIN acts a USING (doc_id) ORDER BY doc_id",
         "filter_and_or": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND (l_quantity < 5 OR l_discount > 0.08::DOUBLE) AND l_returnflag IN ('A', 'R')",
         "filter_not_in": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '1-URGENT') AND o_totalprice <= 50000 AND o_orderstatus <> 'F'",
         "filter_contains": "SELECT doc_id, n_chars FROM documents WHERE contains(text, 'shall') AND NOT contains(text, 'Rs ') AND source = 'gazette'",
@@ -154,10 +159,10 @@ def oracle_sql() -> dict[str, str]:
         "ref_labels": rf"WITH {_CHUNKS} SELECT DISTINCT ref_key, regexp_replace(regexp_replace(ref_key, '^([A-Z]+):A(.+)$', '\1 Art. \2'), '^([A-Z]+):S(.+)$', '\1 s.\2') AS label, CASE WHEN NOT regexp_matches(ref_key, '\(\w+\)$') THEN '' WHEN NOT regexp_matches(regexp_replace(ref_key, '\(\w+\)$', ''), '\(\w+\)$') THEN regexp_replace(ref_key, '\(\w+\)$', '') ELSE regexp_replace(ref_key, '\(\w+\)$', '') || ',' || regexp_replace(regexp_replace(ref_key, '\(\w+\)$', ''), '\(\w+\)$', '') END AS parents FROM ch WHERE ref_key <> ''",
         "ref_roundtrip": f"WITH {_CHUNKS} SELECT DISTINCT ref_key, ref_key AS parsed_key FROM ch JOIN acts ON acts.act_code = split_part(ref_key, ':', 1) WHERE ref_key <> ''",
         "alias_closure": f"WITH RECURSIVE {_CLOSURE} SELECT DISTINCT ref_key, alias FROM cl",
-        "ref_lookup": f"WITH RECURSIVE {_CLOSURE}, {_CHUNKS} SELECT DISTINCT cl.ref_key, chunk_id FROM cl JOIN ch ON ch.ref_key = alias OR ch.ref_key_alt = alias",
+        "ref_lookup": f"WITH RECURSIVE {_CLOSURE} SELECT DISTINCT cl.ref_key, chunk_id FROM cl JOIN ch ON ch.ref_key = alias OR ch.ref_key_alt = alias",
         "idf_table": f"SELECT term, df, round(idf, 6) AS idf FROM {weights}",
         "distinctive_terms": f"SELECT item_id, CAST(rank AS INTEGER) AS rank, term, round(idf, 6) AS idf FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(idf, 9) DESC, pos) AS rank FROM (SELECT t.item_id, t.term, t.pos, coalesce(w.idf, ln({docs} + 1.0) + 1) AS idf FROM {_terms('eval_items', 'item_id', 'text')} t LEFT JOIN {weights} w USING (term))) WHERE rank <= 2",
-        "content_tokens": f"SELECT item_id, term FROM {_terms('eval_items', 'item_id', 'text')}",
+        "content_tokens": f"SELECT 'documents' AS tab, doc_id AS key, term FROM {_terms('documents', 'doc_id', 'text')} UNION ALL SELECT 'eval_items', item_id, term FROM {_terms('eval_items', 'item_id', 'text')}",
         "numeric_tokens": f"WITH {_CHUNKS} SELECT chunk_id, coalesce(array_to_string({_numbers('text')}, ' '), '') AS numbers FROM ch WHERE text IS NOT NULL",
         "ngram_overlap": f"SELECT quote_id, round(similarity, 6) AS similarity FROM {_SIMILAR}",
         "level1_hashes": f"SELECT quote_id, sha1(f) AS h1, sha1({_level2('f')}) AS h2 FROM (SELECT quote_id, {_level1('quote')} AS f FROM {_UNIQUE})",
@@ -167,7 +172,8 @@ def oracle_sql() -> dict[str, str]:
         "dense_topk_filtered": _top(_DENSE + " AND e.label BETWEEN 0 AND 2", 5),
         "vector_norms": "SELECT vec_id, round(list_dot_product(u, u), 6) AS norm, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 2) AS e FROM embeddings))",
         "fusion_pool": f"WITH {_FUSED} SELECT query_id, doc_id, dense, ref_hit, exact_hit, is_web, is_neighbour, routes, score, rank FROM fused WHERE rank <= 40",
-        "evidence_packet": rf"WITH {_FUSED} SELECT query_id, string_agg('E' || rank || ': ' || coalesce(CASE WHEN length(t) > 80 THEN left(t, 79) || '…' ELSE t END, ''), chr(10) ORDER BY rank) AS packet FROM (SELECT query_id, rank, trim(regexp_replace(text, '[\s\x{{A0}}]+', ' ', 'g')) AS t FROM fused JOIN documents USING (doc_id) WHERE rank <= 6) GROUP BY query_id",
+        "evidence_packet": f"WITH {_FUSED}, ev AS (SELECT query_id, rank, concat_ws(' — ', nullif(coalesce(a.title, d.source), ''), nullif(d.doc_kind, '')) AS label, CASE WHEN length(text) > 1600 THEN left(text, 1599) || '…' ELSE coalesce(text, '') END AS shown FROM fused LEFT JOIN documents d USING (doc_id) LEFT JOIN acts a ON a.act_code = d.act_code WHERE rank <= 6) "
+        "SELECT query_id, string_agg('<evidence id=\"E' || rank || '\" source=\"' || regexp_replace(replace(label, '\"', '&quot;'), '[\\n\\r]', ' ', 'g') || '\">' || chr(10) || shown || chr(10) || '</evidence>', chr(10) || chr(10) ORDER BY rank) AS packet FROM ev GROUP BY query_id",
         "term_coverage": f"WITH qs AS {_UNIQUE}, tm AS (SELECT quote_id, term, 1 AS w FROM {_terms('qs', 'quote_id', 'quote')} UNION ALL SELECT DISTINCT quote_id, unnest({_numbers(_level1('quote'))}), 2 FROM qs), hd AS (SELECT quote_id, {quoted} AS f, {_numbers(_level1('source'))} AS ns FROM qs), "
         "sm AS (SELECT tm.quote_id, CAST(sum(w) AS BIGINT) AS total, CAST(coalesce(sum(w) FILTER (CASE WHEN w = 1 THEN contains(f, term) ELSE list_contains(ns, term) END), 0) AS BIGINT) AS covered FROM tm LEFT JOIN hd USING (quote_id) GROUP BY 1) SELECT quote_id, coalesce(total, 0) AS total, coalesce(covered, 0) AS covered, CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE round(covered / total, 6) END AS coverage FROM qs LEFT JOIN sm USING (quote_id)",
         "quote_tiers": f"SELECT quote_id, tier FROM (SELECT quote_id, CASE WHEN length(q1) > 0 AND contains(s1, q1) THEN 'exact' WHEN length(q2) > 0 AND contains(s2, q2) THEN 'normalized' END AS tier FROM {_QUOTE_LEVELS}) WHERE tier IS NOT NULL",
