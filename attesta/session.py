@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,5 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Like cut, for larger results of which later steps need some columns only: compressed files in columns."""
+    to = f"{shared_dir(df.sparkSession)}/kept-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
