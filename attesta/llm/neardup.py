@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.history import squashed
-from attesta.session import cut
+from attesta.session import cut, kept
 
 #: Minima taken of each set, in bands of so many rows.
 BANDS, ROWS = 32, 6
@@ -179,9 +179,10 @@ def similar_texts(texts: DataFrame, threshold: float = 0.8, block: int = 2000) -
 
 def near_duplicates(records: DataFrame, key: str, text: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(links between different texts, members (rec, tid)). Null texts and keys are left out; an empty text is a text like any other."""
-    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("rec"), normalised(F.col(text)).alias("text")).withColumn("tid", F.md5("text"))
+    rows = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("rec"), normalised(F.col(text)).alias("text"))
+    rows = kept(rows.withColumn("tid", F.md5("text")))  # normalised once
     members = cut(rows.select("rec", "tid").distinct())
-    return cut(similar_texts(rows.select("tid", "text").dropDuplicates(["tid"]), threshold)), members
+    return cut(similar_texts(kept(rows.select("tid", "text").dropDuplicates(["tid"])), threshold)), members
 
 
 def pairs_of_records(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -112,5 +112,17 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p3_passages": p3_passages, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 
+# Every 120 characters of every field, by hash and then by themselves.
+_SPANS = """WITH fl AS (SELECT DISTINCT chunk_id AS rec, text AS t FROM chunks UNION SELECT 'quote::' || quote_id, source FROM quotes UNION SELECT 'quote::' || quote_id, quote FROM quotes),
+ w AS (SELECT rec, substring(t, i, 120) AS s FROM (SELECT rec, t, unnest(range(1, length(t) - 118)) AS i FROM fl WHERE length(t) >= 120)),
+ d AS (SELECT DISTINCT rec, s FROM w) SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM d a JOIN d b ON a.s = b.s AND a.rec < b.rec"""
+# White space of Unicode; sets of substrings of 5 characters, counted where they meet.
+_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_GRAMS = f"""WITH tx AS (SELECT DISTINCT chunk_id AS c, trim(regexp_replace(lower(text), '{_SPACE}', ' ', 'g')) AS t FROM chunks WHERE text IS NOT NULL),
+ g AS (SELECT DISTINCT c, substring(t, i, 5) AS s FROM (SELECT c, t, unnest(range(1, greatest(length(t) - 3, 2))) AS i FROM tx)), n AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+ m AS (SELECT a.c AS x, b.c AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.c < b.c GROUP BY 1, 2)
+ SELECT x AS chunk_a, y AS chunk_b FROM m JOIN n p ON p.c = x JOIN n q ON q.c = y WHERE k >= 0.8::DOUBLE * (p.n + q.n - k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1200"}
+    return {"p3_found": _SPANS, "p4_found": _GRAMS, "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1200"}

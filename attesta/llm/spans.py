@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.session import shared_dir
+from attesta.session import kept, shared_dir
 
 #: Fixed values of the rolling hash: an odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -283,12 +283,6 @@ class SpanIndex:
         fs, folder = _files(self.spark, f"{self.path}/{name}")
         fs.delete(folder, True)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """df computed once, as files of the index's folder."""
-        to = f"{self.path}/kept-{uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(to)
-        return self.spark.read.schema(df.schema).parquet(to)
-
     def add(self, batch: DataFrame) -> DataFrame:
         """Index the texts of a batch that are new, and return what the new texts share with all, kept in files: verified matches (tid_a, start_a, end_a,
         tid_b, start_b, end_b), each a longest run of equal characters, and for spans of frequent fingerprints rows without a partner, which have the same
@@ -356,7 +350,7 @@ class SpanIndex:
         often = pairs.where("t_a = t_b")
         if not often.isEmpty():
             found = found.unionByName(self._by_whole_spans(often.select(F.col("t_b").alias("t"), F.col("lo").alias("pos"))))
-        found = self._keep(found)
+        found = kept(found)
         self._drop(table)
         return found
 
@@ -374,7 +368,7 @@ class SpanIndex:
     def _by_whole_spans(self, places: DataFrame) -> DataFrame:
         """Every place (tid_a, start_a, end_a, g) of every span around places (t, pos) of frequent fingerprints that more than one text holds."""
         texts = self._with_texts(places.repartition(self.buckets, "t").groupBy("t").agg(F.collect_list("pos").alias("places")), "t")
-        every = self._keep(texts.select("tid", "places", "text").mapInArrow(_spans_around(self.span, self.k), "tid binary, start int, g long"))
+        every = kept(texts.select("tid", "places", "text").mapInArrow(_spans_around(self.span, self.k), "tid binary, start int, g long"))
         shared = every.groupBy("g").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo != hi").select("g")
         none = [F.lit(None).cast(t).alias(n) for n, t in (("tid_b", "binary"), ("start_b", "int"), ("end_b", "int"))]
         return every.join(shared, "g", "left_semi").select(F.col("tid").alias("tid_a"), F.col("start").alias("start_a"), (F.col("start") + self.span).alias("end_a"), *none, "g")
@@ -411,7 +405,7 @@ def shared_matches(batches: list[DataFrame], spark: SparkSession, span: int = 12
         matches = found if matches is None else matches.unionByName(found)
         own = batch.select("rec", "field", "tid")
         members = own if members is None else members.unionByName(own)
-    return matches, index._keep(members.distinct())
+    return matches, kept(members.distinct())
 
 
 def record_pairs(matches: DataFrame, members: DataFrame) -> DataFrame:
