@@ -70,6 +70,28 @@ def test_shared_spans_equal_brute_force(spark, hot, fan):
             assert cover[str(i)] == len(held)
 
 
+def test_index_opens_again(spark, tmp_path):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    lots = [texts_of(spark, [(i, f"{i}" * 40 + shared + f"{i + 1}" * 40), (i + 10, shared[:119] + "#@%!"[i] * 9)]) for i in range(4)]
+    lots = [d.select(spans.text_id(F.col("text")).alias("tid"), "text") for d in lots]
+    index = spans.SpanIndex(spark, fan=2, path=str(tmp_path / "index"))
+    for d in lots[:3]:
+        index.add(d)
+        index.compact()
+    for _, run, texts in index.runs:
+        spark.sql(f"DROP TABLE {run}")
+        spark.sql(f"DROP TABLE {texts}")
+    again = spans.SpanIndex.opened(spark, index.path)
+    assert again.runs == index.runs and again.buckets == index.buckets and sorted(r[0] for r in again.runs) == [0, 1]
+    found = [r for r in again.add(lots[3]).collect() if r.tid_b]
+    new = lots[3].first().tid
+    assert len(found) == 3 and all(r.end_a - r.start_a == 150 and new in (r.tid_a, r.tid_b) for r in found)
+    assert again.add(lots[3]).count() == 0
+    tables = {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("spans_")}
+    assert tables == {n for r in again.runs for n in r[1:]}
+
+
 @pytest.mark.parametrize("hot", [64, 1])
 def test_shared_cover_is_per_record(spark, hot):
     rng = random.Random(8)
