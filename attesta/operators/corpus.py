@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from attesta.functions.filters import all_of, where
 
-STATUSES = ["in_force", "repealed", "struck_down", "amended", "read_down", "applies_to_prior_offences"]
+# What status, kind of document and state of verification may be.
+STATUSES = ["in_force", "applies_to_prior_offences", "repealed", "struck_down", "read_down", "amended"]
+DOC_TYPES = ["act", "constitution", "judgment", "rule", "web"]
+VERIFICATIONS = ["unverified", "verified", "disputed"]
 BROWSED = ("act_code", "doc_type", "status", "doc_id", "section_no")
 
 
-def one_chunk_each(chunks: DataFrame, key: str = "chunk_id", at: str = "ingested_at", batch: str = "ingest_batch") -> DataFrame:
-    """The last delivery of each chunk; of deliveries at one time that of the greatest batch. Whole rows travel once, as structs that are combined in the tasks."""
-    rank = F.struct(F.col(at).alias("r0"), F.col(batch).alias("r1"), F.to_json(F.struct(*chunks.columns)).alias("r2"))
-    last = chunks.groupBy(key).agg(F.max_by(F.struct(*chunks.columns), rank).alias("row"))
-    return last.select("row.*")
+def one_chunk_each(chunks: DataFrame, *columns: str, key: str = "chunk_id", at: str = "ingested_at", batch: str = "ingest_batch") -> DataFrame:
+    """The last delivery of each chunk; of deliveries at one time that of the greatest batch, of equal batches that with the greatest values.
+
+    Only the key, the two that tell the delivery and the asked columns (none: all) are read and travel, once, reduced inside each task first.
+    """
+    shown = [c for c in columns or chunks.columns if c != key]
+    last = chunks.groupBy(key).agg(F.max(F.struct(F.col(at).alias("r0"), F.col(batch).alias("r1"), *[F.col(c).alias(f"c_{c}") for c in shown])).alias("row"))
+    return last.select(key, *[F.col(f"row.c_{c}").alias(c) for c in shown])
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:
@@ -57,13 +63,28 @@ def passages(sources: DataFrame) -> DataFrame:
     return rows.select("doc_id", "c.chunk_id", "c.seq", F.substring(F.col("text"), F.col("c.char_start") + 1, F.col("c.char_end") - F.col("c.char_start")).alias("passage"))
 
 
+def last_sources(sources: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and the asked columns of the last delivery of each stored document, all from one row. Times are compared as times; unreadable ones come first."""
+    row = F.max(F.struct(F.col("ingested_at").try_cast("timestamp").alias("r0"), *[F.col(c).alias(f"c_{c}") for c in columns])).alias("row")
+    return sources.groupBy("doc_id").agg(row).select("doc_id", *[F.col(f"row.c_{c}").alias(c) for c in columns])
+
+
 def with_defaults(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Chunks with the metadata of their document; missing values become '' and the defaults of their column."""
-    docs = sources.select("doc_id", "doc_title", "doc_type", "source_url", "verification_status").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("doc_title", "doc_type", "source_url", "verification_status")])
+    """Chunks with the metadata of their document as last stored; missing values become '' and the defaults of their column, missing offsets stay null."""
+    docs = last_sources(sources, "doc_title", "doc_type", "source_url", "verification_status")
     default = {"doc_type": "act", "verification_status": "unverified", "status": "in_force"}
-    text = ["doc_title", "source_url", "act_code", "ref_key", "ref_key_alt", "section_no", "subsection_no", "article_no", "heading", "title_path", "effective_from", "effective_to", "para_no"]
+    filled = {"jurisdiction": "IN", "ingest_batch": "manual"}
+    of_chunk = ["act_code", "section_no", "subsection_no", "article_no", "ref_key", "ref_key_alt", "title_path", "heading", "effective_from", "effective_to", "superseded_by", "struck_down_by", "para_no"]
+    absent = ["court", "citation_str", "case_name"]
     rows = chunks.join(docs, "doc_id", "left")
-    return rows.select("chunk_id", "doc_id", "seq", *[F.coalesce(c, F.lit("")).alias(c) for c in text], *[F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit(d)).alias(c) for c, d in default.items()])
+    have = set(rows.columns)
+    value = lambda c, d="": F.coalesce(F.col(c), F.lit(d)).alias(c) if c in have else F.lit(d).alias(c)
+    year = F.coalesce(F.col("case_year").cast("int"), F.lit(0)) if "case_year" in have else F.lit(0)
+    place = [F.col(c) if c in have else F.lit(None).cast("int").alias(c) for c in ("char_start", "char_end")]
+    return rows.select(
+        "chunk_id", "doc_id", "seq", *[value(c) for c in ("doc_title", "source_url", *of_chunk, *absent)], *[value(c, d) for c, d in filled.items()], year.alias("case_year"), *place,
+        *[F.coalesce(F.nullif(F.lower(F.trim(F.col(c) if c in have else F.lit(""))), F.lit("")), F.lit(d)).alias(c) for c, d in default.items()],
+    )
 
 
 def provision_label(section: Column, subsection: Column, article: Column, para: Column) -> Column:
@@ -72,15 +93,22 @@ def provision_label(section: Column, subsection: Column, article: Column, para:
 
 
 def source_label(rows: DataFrame) -> Column:
-    """Title, provision and heading, as far as there are any."""
+    """Title, provision and heading, as far as there are any; of judgments the case, its citation and paragraph (a case without a name goes by its title), of
+    web pages the title or else the address."""
     parts = [F.col("doc_title"), provision_label(F.col("section_no"), F.col("subsection_no"), F.col("article_no"), F.col("para_no")), F.col("heading")]
-    return F.concat_ws(" — ", *[F.nullif(p, F.lit("")) for p in parts])
+    case = [F.coalesce(F.nullif("case_name", F.lit("")), "doc_title"), F.col("citation_str"), F.when(F.col("para_no") != "", F.concat(F.lit("para "), "para_no"))]
+    joined = lambda xs: F.concat_ws(" — ", *[F.nullif(x, F.lit("")) for x in xs])
+    web = F.coalesce(F.nullif("doc_title", F.lit("")), "source_url")
+    return F.when(F.col("doc_type") == "judgment", joined(case)).when(F.col("doc_type") == "web", web).otherwise(joined(parts))
 
 
 def violations(rows: DataFrame) -> DataFrame:
     """(chunk_id, problem) for metadata outside its rules, one row a problem."""
     checks = {
         "status": ~F.col("status").isin(STATUSES),
+        "doc_type": ~F.col("doc_type").isin(DOC_TYPES),
+        "verification": ~F.col("verification_status").isin(VERIFICATIONS),
+        "no_offset": F.col("char_start").isNull() | F.col("char_end").isNull(),
         "no_key": (F.col("ref_key") == "") & (F.col("para_no") == ""),
         "no_title": F.col("doc_title") == "",
         "dates": (F.col("effective_to") != "") & (F.col("effective_from") != "") & (F.col("effective_to") < F.col("effective_from")),

@@ -8,6 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.session import cut
+
+# Names of headers, and of fields, that hold secrets.
+SECRET_HEADERS = ["authorization", "x-dashboard-token", "cookie", "x-goog-api-key"]
+SECRET_FIELDS = r"(?i)^(api[_-]?key|token|secret|password|authorization)$"
+
 
 def _failed() -> Column:
     return F.col("event_type") == "error"
@@ -21,12 +27,24 @@ def totals(events: DataFrame) -> DataFrame:
 
 
 def percentiles(events: DataFrame, *by: str) -> DataFrame:
-    """p50, p95 and p99 by nearest rank, for the whole log or by group. Values are counted first, so each task sends every distinct value once."""
-    counts = events.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy("value")
-    ranked = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("total") / 100), F.col("value")))
-    return ranked.groupBy(*by).agg(*[F.round(at(p), 2).alias(f"p{p}") for p in (50, 95, 99)])
+    """p50, p95 and p99 by nearest rank, for the whole log or by group.
+
+    Values are counted first and the counts sorted into ranges, one a task. The sizes of the ranges (one row for each range and group) tell in which of them
+    a rank lies, and only there values are counted on to it.
+    """
+    rows = events.where("value IS NOT NULL").select(F.struct(*by, F.lit(0).alias("_")).alias("g"), "value")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy("g", "value").agg(F.count("*").alias("n")).repartitionByRange(parts, "g", "value")
+    placed = cut(counts.withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("g").orderBy("part")
+    sizes = placed.groupBy("g", "part").agg(F.sum("n").alias("size"))
+    sizes = sizes.withColumns({"before": F.sum("size").over(order) - F.col("size"), "total": F.sum("size").over(Window.partitionBy("g"))})
+    wanted = sizes.withColumn("p", F.explode(F.array(*map(F.lit, (50, 95, 99))))).withColumn("rank", F.ceil(F.col("p") * F.col("total") / 100) - F.col("before"))
+    wanted = wanted.where("rank > 0 AND rank <= size").select("g", "part", "p", "rank")
+    upto = F.sum("n").over(Window.partitionBy("g", "part", "p").orderBy("value"))
+    found = placed.join(wanted, ["g", "part"]).withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy("g", "p").agg(F.min("value").alias("value"))
+    values = [F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 2).alias(f"p{p}") for p in (50, 95, 99)]
+    return found.groupBy("g").agg(*values).select(*[F.col(f"g.{c}").alias(c) for c in by], "p50", "p95", "p99")
 
 
 def by_group(events: DataFrame, *by: str) -> DataFrame:
@@ -93,8 +111,8 @@ def capped(column: Column, most: int) -> Column:
     return F.when(F.length(column) > most, brief).otherwise(column)
 
 
-def redacted(values: Column, mask: str = "••••••••", most: int = 4000) -> Column:
-    """A map of text without secrets: values under secret names masked, overlong ones elided."""
-    secret = r"(?i)^(api[_-]?key|token|secret|password|authorization|x-dashboard-token|cookie|x-goog-api-key)$"
+def redacted(values: Column, mask: str = "••••••••", most: int = 4000, headers: bool = False) -> Column:
+    """A map of text without secrets: values under secret names masked, overlong ones elided. Headers and fields have secret names of their own."""
+    secret = (lambda k: F.lower(k).isin(SECRET_HEADERS)) if headers else (lambda k: k.rlike(SECRET_FIELDS))
     elided = lambda v: F.concat(F.lit("["), F.length(v).cast("string"), F.lit(" chars elided]"))
-    return F.transform_values(values, lambda k, v: F.when(k.rlike(secret), mask).when(F.length(v) > most, elided(v)).otherwise(v))
+    return F.transform_values(values, lambda k, v: F.when(secret(k), mask).when(F.length(v) > most, elided(v)).otherwise(v))

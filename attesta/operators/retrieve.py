@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import refs, text
+from attesta.session import kept
 
 WEIGHTS = {"dense": 0.5, "ref": 0.3, "exact": 0.2, "web": 0.10, "neighbour": 0.05}
 STATUS_NOTES = {
@@ -45,23 +50,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(rows: DataFrame, key: str, vector: str, block: int, name: str) -> DataFrame:
+    """Vectors in blocks of about ``block``, a row each: keys and vectors as lists."""
+    rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    packs = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("b"), F.size("v").alias(f"{name}_size"))
+    return packs.agg(F.collect_list("k").alias(f"{name}_keys"), F.flatten(F.collect_list("v")).alias(f"{name}_values"), F.count("*").alias("n")).drop("b", "n")
+
+
+def _best(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best ``top`` of a block of vectors for each query of a block of queries. More are kept only where they tie with the last of these."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = {c: batch.column(c)[i].values.to_numpy() for c in ("q_keys", "q_values", "v_keys", "v_values")}
+                q, v = (own[f"{x}_values"].reshape(len(own[f"{x}_keys"]), -1) for x in "qv")
+                like = np.round(np.clip(q @ v.T, 0.0, 1.0), 6)
+                like[own["q_keys"][:, None] == own["v_keys"][None, :]] = -1.0  # itself
+                least = np.partition(like, max(0, like.shape[1] - top), axis=1)[:, max(0, like.shape[1] - top)]
+                a, b = np.nonzero((like >= least[:, None]) & (like >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array(own["q_keys"][a]), pa.array(own["v_keys"][b]), pa.array(like[a, b])], ["query_id", "k", "similarity"])
+
+    return run
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 8, block: int = 1000) -> DataFrame:
-    """(query_id, key, rank, similarity): the ``top`` vectors most like each query, itself left out, exactly.
+    """(query_id, key, rank, similarity): the ``top`` vectors most like each query, itself left out, exactly. Vectors have length 1; those of another number
+    of dimensions and null ones are left out. Ties go to the smaller key.
 
-    A stated set of queries is compared with all rows in blocks: each block of queries (at most ``block``, so of bounded size) is sent to all tasks, every
-    task keeps its own best, and only these are compared further.
+    A stated set of queries is compared with all rows in blocks: each pair of a block of queries and a block of vectors is one row and one product of
+    matrices, of which the best are kept, and only these are compared further. The plan is the same however many blocks there are.
     """
-    numbered = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
-    parts = [r[0] for r in numbered.select("part").distinct().collect()]
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), key)
-    out = None
-    for part in sorted(parts):
-        own = F.broadcast(numbered.where(F.col("part") == part).drop("part"))
-        pairs = vectors.select(key, vector).join(own, F.col(key) != F.col("query_id"))
-        scored = pairs.select("query_id", key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col(vector), F.col("q")))), 6).alias("similarity"))
-        found = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-        out = found if out is None else out.unionByName(found)
-    return out.select("query_id", key, "rank", "similarity")
+    pairs = _packed(vectors, key, vector, block, "v").crossJoin(_packed(queries, key, vector, block, "q")).where("v_size = q_size AND v_size > 0")
+    kind = vectors.schema[key].dataType.simpleString()
+    found = pairs.select("q_keys", "q_values", "v_keys", "v_values").mapInArrow(_best(top), f"query_id {kind}, k {kind}, similarity double")
+    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "k")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", F.col("k").alias(key), "rank", "similarity")
 
 
 def keyword(rows: DataFrame, column: str, pattern: str | None = None, phrase: str | None = None) -> DataFrame:
@@ -141,7 +165,7 @@ def evidence_block(rank: Column, label: Column, status: Column, passage: Column,
 
 def same_text(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, text_hash, first_key, copies): rows whose letters and digits are the same; grouped by hash, with the smallest key of each group."""
-    hashed = rows.where(F.col(column).isNotNull()).select(key, F.sha1(F.expr(text.level2(text.level1(column)))).alias("text_hash"))
+    hashed = kept(rows.where(F.col(column).isNotNull()).select(key, F.sha1(F.expr(text.level2(text.level1(column)))).alias("text_hash")))  # each text is folded once
     groups = hashed.groupBy("text_hash").agg(F.min(key).alias("first_key"), F.count("*").alias("copies"))
     return hashed.join(groups, "text_hash").select(key, "text_hash", "first_key", "copies")
 

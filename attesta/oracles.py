@@ -30,10 +30,10 @@ _VERSIONS = (
 
 
 _CHUNKS = "ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC, ingest_batch DESC) AS delivery FROM chunks) WHERE delivery = 1)"
-_STATUS = "(SELECT doc_id, max(doc_title) AS doc_title, max(doc_type) AS doc_type, max(source_url) AS source_url, max(verification_status) AS verification_status FROM sources GROUP BY doc_id)"
+_STATUS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY try_cast(ingested_at AS TIMESTAMPTZ) DESC NULLS LAST) AS delivery FROM sources) WHERE delivery = 1)"
 _META = (
     _CHUNKS
-    + ", md AS (SELECT chunk_id, coalesce(doc_title, '') AS doc_title, "
+    + ", md AS (SELECT chunk_id, coalesce(doc_title, '') AS doc_title, coalesce(source_url, '') AS source_url, c.char_start AS char_start, c.char_end AS char_end, "
     + ", ".join(f"coalesce(c.{x}, '') AS {x}" for x in ("ref_key", "section_no", "subsection_no", "article_no", "heading", "effective_from", "effective_to", "para_no"))
     + ", "
     + ", ".join(f"coalesce(nullif(lower(trim({t})), ''), '{d}') AS {n}" for t, n, d in (("doc_type", "doc_type", "act"), ("d.verification_status", "verification_status", "unverified"), ("c.status", "status", "in_force")))
@@ -146,8 +146,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_offsets": f"WITH {_CHUNKS} SELECT chunk_id, CAST(row_number() OVER w - 1 AS INTEGER) AS part_no, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start_at, CAST(sum(length(text) + 2) OVER w - 2 AS INTEGER) AS end_at FROM ch WHERE text IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY seq)",
         "stale_offsets": f"WITH {_CHUNKS} SELECT chunk_id, char_start, char_end, CAST(length(text) AS INTEGER) AS n_chars FROM ch WHERE char_start IS NULL OR char_end IS NULL OR char_end - char_start <> length(text)",
         "chunk_carry": f"WITH {_CHUNKS}, ca AS (SELECT chunk_id, CASE WHEN lag(text) OVER w IS NULL THEN text ELSE '…' || right(lag(text) OVER w, 150) || ' ' || text END AS t FROM ch WHERE text IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT chunk_id, md5(t) AS carry_hash, CAST(length(t) AS INTEGER) AS n_chars FROM ca",
-        "chunk_metadata": f"WITH {_META} SELECT chunk_id, doc_type, status, verification_status, concat_ws(' — ', nullif(doc_title, ''), {_UNIT}, nullif(heading, '')) AS label FROM md",
-        "metadata_violations": f"WITH {_META} SELECT chunk_id, 'status' AS problem FROM md WHERE status NOT IN ({statuses}) UNION ALL SELECT chunk_id, 'no_key' FROM md WHERE ref_key = '' AND para_no = '' UNION ALL SELECT chunk_id, 'no_title' FROM md WHERE doc_title = '' UNION ALL SELECT chunk_id, 'dates' FROM md WHERE effective_to <> '' AND effective_from <> '' AND effective_to < effective_from",
+        "chunk_metadata": f"WITH {_META} SELECT chunk_id, doc_type, status, verification_status, CASE doc_type WHEN 'judgment' THEN concat_ws(' — ', nullif(doc_title, ''), 'para ' || nullif(para_no, '')) WHEN 'web' THEN coalesce(nullif(doc_title, ''), source_url) ELSE concat_ws(' — ', nullif(doc_title, ''), {_UNIT}, nullif(heading, '')) END AS label FROM md",
+        "metadata_violations": f"WITH {_META} SELECT chunk_id, 'status' AS problem FROM md WHERE status NOT IN ({statuses}) UNION ALL SELECT chunk_id, 'doc_type' FROM md WHERE doc_type NOT IN ('act', 'constitution', 'judgment', 'rule', 'web') UNION ALL SELECT chunk_id, 'verification' FROM md WHERE verification_status NOT IN ('unverified', 'verified', 'disputed') UNION ALL SELECT chunk_id, 'no_offset' FROM md WHERE char_start IS NULL OR char_end IS NULL UNION ALL SELECT chunk_id, 'no_key' FROM md WHERE ref_key = '' AND para_no = '' UNION ALL SELECT chunk_id, 'no_title' FROM md WHERE doc_title = '' UNION ALL SELECT chunk_id, 'dates' FROM md WHERE effective_to <> '' AND effective_from <> '' AND effective_to < effective_from",
         "neighbour_read": f"WITH {_CHUNKS} SELECT a.chunk_id AS anchor_id, c.chunk_id, c.seq, c.seq = a.seq AS is_anchor FROM ch a JOIN ch c ON c.doc_id = a.doc_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1",
         "document_order": "SELECT doc_id, coalesce(a.act_code, s.code) AS act_code, coalesce(a.title, s.title) AS title, CAST(coalesce(len(names), 0) AS INTEGER) AS n_names FROM (SELECT doc_id, max(act_code) AS code, max(doc_title) AS title FROM sources GROUP BY doc_id) s FULL JOIN acts a USING (doc_id) ORDER BY doc_id",
         "filter_and_or": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND (l_quantity < 5 OR l_discount > 0.08::DOUBLE) AND l_returnflag IN ('A', 'R')",
@@ -195,6 +195,7 @@ def oracle_sql() -> dict[str, str]:
         "expired_users": f"SELECT user_id, last_event FROM {_LATEST} WHERE last_ts < TIMESTAMP '2024-01-30' - INTERVAL 60 MINUTE",
         "hourly_windows": _HOURS,
         "stream_windows": _HOURS,
+        "stream_closed_windows": f"SELECT * FROM ({_HOURS}) WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
         "stream_dedup": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type",
         "user_sessions": "SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2) GROUP BY 1",
         "capped_details": """SELECT event_id, CASE WHEN length(d) > 34 THEN '{"_truncated":true,"_originalChars":' || length(d) || ',"preview":"' || replace(left(d, 34), '"', '\\"') || '"}' ELSE d END AS detail FROM (SELECT event_id, '{"type":"' || event_type || '","props":' || props || '}' AS d FROM events)""",

@@ -11,7 +11,7 @@ from attesta import oracles
 from attesta.functions import refs, text
 from attesta.functions.filters import all_of, where
 from attesta.operators import corpus, history, metrics, quotes, retrieve
-from attesta.session import shared_dir, table
+from attesta.session import cut, shared_dir, table
 from attesta.sources import files
 from attesta.streaming import events as streams
 
@@ -27,8 +27,8 @@ def p2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.replayed_history(table(spark, sf_dir, "status_updates")).select("doc_id", "ref_key", "version", *history.FIELDS, *shown, "is_current")
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.one_chunk_each(table(spark, sf_dir, "chunks"))
+def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return corpus.one_chunk_each(table(spark, sf_dir, "chunks"), *columns)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +43,11 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_documents(spark, sf_dir):
-    return corpus.document_stats(_chunks(spark, sf_dir))
+    return corpus.document_stats(_chunks(spark, sf_dir, "doc_id", "text", "act_code", "seq"))
 
 
 def corpus_rollup(spark, sf_dir):
-    return corpus.rollup(_chunks(spark, sf_dir), "act_code", "status", "ref_key_alt")
+    return corpus.rollup(_chunks(spark, sf_dir, "act_code", "status", "ref_key_alt"), "act_code", "status", "ref_key_alt")
 
 
 def corpus_unverified(spark, sf_dir):
@@ -57,7 +57,7 @@ def corpus_unverified(spark, sf_dir):
 
 
 def browse_page(spark, sf_dir):
-    return corpus.browse(_chunks(spark, sf_dir), {"status": "in_force"}, words="section [0-9]+", limit=40, offset=20).select("chunk_id", "doc_id", "seq", "ref_key")
+    return corpus.browse(_chunks(spark, sf_dir, "doc_id", "seq", "ref_key", "status", "text"), {"status": "in_force"}, words="section [0-9]+", limit=40, offset=20).select("chunk_id", "doc_id", "seq", "ref_key")
 
 
 def passage_slices(spark, sf_dir):
@@ -67,36 +67,46 @@ def passage_slices(spark, sf_dir):
 def passage_check(spark, sf_dir):
     """Chunks whose text is not the passage that the stored text has at their place."""
     stored = corpus.passages(table(spark, sf_dir, "sources")).select("chunk_id", F.md5("passage").alias("stored")).distinct()
-    own = _chunks(spark, sf_dir).select("chunk_id", F.md5("text").alias("own"))
+    own = _chunks(spark, sf_dir, "text").select("chunk_id", F.md5("text").alias("own"))
     return own.join(stored, "chunk_id", "left").where("stored IS NULL OR own != stored").select("chunk_id", F.col("stored").isNull().alias("no_source"))
 
 
 def chunk_offsets(spark, sf_dir):
-    return corpus.offsets(_chunks(spark, sf_dir).where("text IS NOT NULL")).select("chunk_id", "part_no", "start_at", "end_at")
+    return corpus.offsets(_chunks(spark, sf_dir, "doc_id", "seq", "text").where("text IS NOT NULL")).select("chunk_id", "part_no", "start_at", "end_at")
 
 
 def stale_offsets(spark, sf_dir):
     """Chunks whose stored offsets do not fit the length of their text."""
-    rows = _chunks(spark, sf_dir)
+    rows = _chunks(spark, sf_dir, "char_start", "char_end", "text")
     return rows.where("char_start IS NULL OR char_end IS NULL OR char_end - char_start != length(text)").select("chunk_id", "char_start", "char_end", F.length("text").alias("n_chars"))
 
 
 def chunk_carry(spark, sf_dir):
-    rows = corpus.carried(_chunks(spark, sf_dir).where("text IS NOT NULL")).select("chunk_id", "with_carry")
+    rows = corpus.carried(_chunks(spark, sf_dir, "doc_id", "seq", "text").where("text IS NOT NULL")).select("chunk_id", "with_carry")
     return rows.select("chunk_id", F.md5("with_carry").alias("carry_hash"), F.length("with_carry").alias("n_chars"))
 
 
+_META = (
+    "doc_id", "seq", "act_code", "section_no", "subsection_no", "article_no", "ref_key", "ref_key_alt", "title_path", "heading", "status", "effective_from", "effective_to", "superseded_by",
+    "struck_down_by", "para_no", "char_start", "char_end", "ingest_batch",
+)
+
+
+def _metadata(spark, sf_dir):
+    return corpus.with_defaults(_chunks(spark, sf_dir, *_META), table(spark, sf_dir, "sources"))
+
+
 def chunk_metadata(spark, sf_dir):
-    rows = corpus.with_defaults(_chunks(spark, sf_dir), table(spark, sf_dir, "sources"))
+    rows = _metadata(spark, sf_dir)
     return rows.select("chunk_id", "doc_type", "status", "verification_status", corpus.source_label(rows).alias("label"))
 
 
 def metadata_violations(spark, sf_dir):
-    return corpus.violations(corpus.with_defaults(_chunks(spark, sf_dir), table(spark, sf_dir, "sources")))
+    return corpus.violations(_metadata(spark, sf_dir))
 
 
 def neighbour_read(spark, sf_dir):
-    rows = _chunks(spark, sf_dir).select("chunk_id", "doc_id", "seq")
+    rows = _chunks(spark, sf_dir, "doc_id", "seq").select("chunk_id", "doc_id", "seq")
     return corpus.neighbours(rows, rows, 1)
 
 
@@ -127,7 +137,7 @@ def filter_contains(spark, sf_dir):
 
 
 def keyword_regex(spark, sf_dir):
-    return retrieve.keyword(_chunks(spark, sf_dir), "text", pattern=r"licen[cs]e[\s\S]{0,80}months").select("chunk_id")
+    return retrieve.keyword(_chunks(spark, sf_dir, "text"), "text", pattern=r"licen[cs]e[\s\S]{0,80}months").select("chunk_id")
 
 
 def keyword_phrase(spark, sf_dir):
@@ -136,7 +146,7 @@ def keyword_phrase(spark, sf_dir):
 
 def qualified_provisions(spark, sf_dir):
     """Provisions that narrow a rule, and those that speak of recent change."""
-    rows = _chunks(spark, sf_dir)
+    rows = _chunks(spark, sf_dir, "text")
     return rows.select("chunk_id", F.col("text").rlike(text.QUALIFIER).alias("qualified"), F.col("text").rlike(text.RECENT).alias("recent")).where("qualified OR recent")
 
 
@@ -148,14 +158,14 @@ def _names(spark, sf_dir):
 
 
 def ref_labels(spark, sf_dir):
-    rows = _chunks(spark, sf_dir).where("ref_key IS NOT NULL AND ref_key != ''").select("ref_key").distinct()
+    rows = _chunks(spark, sf_dir, "ref_key").where("ref_key IS NOT NULL AND ref_key != ''").select("ref_key").distinct()
     return rows.select("ref_key", refs.label(F.col("ref_key")).alias("label"), F.array_join(refs.parents(F.col("ref_key")), ",").alias("parents"))
 
 
 def ref_roundtrip(spark, sf_dir):
     """Keys written out as references, parsed again; the act is named by its longest name."""
     acts = table(spark, sf_dir, "acts").select("act_code", F.element_at("names", 1).alias("name"))
-    rows = _chunks(spark, sf_dir).where("ref_key != ''").select("ref_key").distinct().withColumn("act_code", F.regexp_extract("ref_key", "^([^:]+):", 1)).join(F.broadcast(acts), "act_code")
+    rows = _chunks(spark, sf_dir, "ref_key").where("ref_key != ''").select("ref_key").distinct().withColumn("act_code", F.regexp_extract("ref_key", "^([^:]+):", 1)).join(F.broadcast(acts), "act_code")
     unit = F.when(F.col("ref_key").rlike(":A"), "Article ").otherwise("Section ")
     written = F.concat(unit, F.regexp_replace("ref_key", "^[^:]+:[SA]", ""), F.lit(" of the "), F.initcap("name"))
     rows = rows.withColumn("written", written)
@@ -168,7 +178,7 @@ def ref_mentions(spark, sf_dir):
 
 def _keys(spark, sf_dir):
     """All keys that chunks stand under, and both sides of all equivalences."""
-    own = _chunks(spark, sf_dir).select(F.explode(F.array("ref_key", "ref_key_alt")).alias("ref_key"))
+    own = _chunks(spark, sf_dir, "ref_key", "ref_key_alt").select(F.explode(F.array("ref_key", "ref_key_alt")).alias("ref_key"))
     paired = table(spark, sf_dir, "equivalences").select(F.explode(F.array("a", "b")).alias("ref_key"))
     return own.unionByName(paired).where("ref_key != ''").distinct()
 
@@ -178,7 +188,7 @@ def alias_closure(spark, sf_dir):
 
 
 def ref_lookup(spark, sf_dir):
-    return retrieve.lookup(_keys(spark, sf_dir), _chunks(spark, sf_dir), table(spark, sf_dir, "equivalences"))
+    return retrieve.lookup(_keys(spark, sf_dir), _chunks(spark, sf_dir, "ref_key", "ref_key_alt"), table(spark, sf_dir, "equivalences"))
 
 
 # Terms and retrieval
@@ -203,7 +213,7 @@ def content_tokens(spark, sf_dir):
 
 
 def numeric_tokens(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("chunk_id", F.array_join(F.expr(text.numeric_tokens("text")), " ").alias("numbers"))
+    return _chunks(spark, sf_dir, "text").select("chunk_id", F.array_join(F.expr(text.numeric_tokens("text")), " ").alias("numbers"))
 
 
 def ngram_overlap(spark, sf_dir):
@@ -219,7 +229,7 @@ def level1_hashes(spark, sf_dir):
 
 
 def hash_dedup(spark, sf_dir):
-    return retrieve.same_text(_chunks(spark, sf_dir), "chunk_id", "text")
+    return retrieve.same_text(_chunks(spark, sf_dir, "text"), "chunk_id", "text")
 
 
 def query_fingerprints(spark, sf_dir):
@@ -249,7 +259,7 @@ def _hits(spark, sf_dir):
     """Hits of four routes for each query document: vectors, the act of the query, a phrase, and the documents beside those that vectors find."""
     phrase = F.coalesce(F.col("text").contains("in good faith"), F.lit(False)).alias("has_phrase")
     docs = table(spark, sf_dir, "documents").select("doc_id", "act_code", phrase)
-    dense = dense_topk(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
+    dense = cut(dense_topk(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), "similarity"))
     queries = _vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
     return retrieve.hits_of_routes(dense, docs, queries)
 
@@ -407,12 +417,18 @@ def run_log_roundtrip(spark, sf_dir):
 
 
 def stream_windows(spark, sf_dir):
-    """The hourly windows kept up by a stream; those that the watermark has closed come out."""
+    """The hourly windows kept up by a stream, open ones among them: all come out with each step, so none is ever dropped."""
     out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     rows = streams.drained(streams.windowed(streams.event_stream(spark, sf_dir)), out, "complete")
     return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select("window_start", "event_type", "n", "errors", "total")
 
 
+def stream_closed_windows(spark, sf_dir):
+    """The hourly windows that the watermark has closed, each written once; their state is gone."""
+    out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    return streams.drained(streams.windowed(streams.event_stream(spark, sf_dir)), out).select("window_start", "event_type", "n", "errors", "total")
+
+
 def stream_dedup(spark, sf_dir):
     out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     rows = streams.drained(streams.deduplicated(streams.event_stream(spark, sf_dir)), out)
@@ -432,7 +448,7 @@ _PLAIN = [
     query_fingerprints, dense_topk, dense_topk_filtered, vector_norms, fusion_pool, term_coverage, quote_tiers, quote_check, quote_guards, threshold_sweep,
     guard_contribution, ngram_sweep, source_cover, evidence_packet, request_metrics, request_percentiles, request_percentiles_by_type, request_by_type,
     request_by_class, ring_last_n, ring_last_n_by_user, window_recent, events_since, event_numbers, user_state, expired_users, hourly_windows, user_sessions,
-    capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_dedup, stream_user_state,
+    capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_closed_windows, stream_dedup, stream_user_state,
 ]
 
 
