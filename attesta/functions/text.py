@@ -39,6 +39,10 @@ SPELLINGS = [
     (r"\bi\.e\.a\.", "iea"), (r"\ba\.i\.r\.", "air"), (r"\bs\.c\.c\.", "scc"), (r"\bu\.o\.i\.", "uoi"),
 ]
 SINGLE, DOUBLE, DASHES = "‘’‚‛′", "“”„‟″", "‐‑‒–—―−"
+# Phrases that a search for narrowing provisions looks for; the form of a case citation; characters of a quote that are checked.
+QUALIFIER_SEARCH = r"(?i)(notwithstanding|shall not apply|there shall be no obligation|nothing in this|not be enforceable|provided that|except)"
+CASE_CITATION = r"\(\d{4}\)\s*\d+\s*[A-Z]{2,4}\s*\d+"
+MOST_QUOTE_CHARS = 600
 DROPPED = "​‌‍﻿­"
 
 
@@ -75,6 +79,11 @@ def numeric_tokens(text: str) -> str:
     return f"array_sort(filter(transform({tokens(text)}, t -> {_number('t')}), n -> n IS NOT NULL))"
 
 
+def number_like(word: str) -> str:
+    """Whether a token is a number in digits or in words."""
+    return f"({_number(word)}) IS NOT NULL"
+
+
 def sorted_terms(text: str) -> str:
     """All content tokens, repeats among them, in alphabetical order."""
     return f"array_sort(transform(filter({tokens(text)}, t -> length(t) >= 3 AND NOT array_contains({_list(STOPWORDS)}, t)), t -> {stem('t')}))"

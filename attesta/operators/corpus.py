@@ -116,6 +116,49 @@ def violations(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).alias("problem"))
 
 
+def source_list(sources: DataFrame) -> DataFrame:
+    """Each stored document as last delivered: title, type, passages and characters."""
+    return last_sources(sources, "doc_title", "doc_type", "chunks", "text").select("doc_id", "doc_title", "doc_type", F.size("chunks").alias("n_chunks"), F.length("text").alias("n_chars"))
+
+
+def web_id(address: Column) -> Column:
+    """The id of a stored web page."""
+    return F.concat(F.lit("web::"), F.sha1(address))
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with one of the wanted ids; ids may repeat."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows that are left when all with one of the ids are deleted. Rows without an id stay."""
+    return rows.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def known_ids(rows: DataFrame, known: DataFrame, key: str, out: str = "valid") -> DataFrame:
+    """rows with a flag that tells whether their id is among the known ones."""
+    return rows.join(known.select(key, F.lit(True).alias(out)).distinct(), key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def ingest_totals(chunks: DataFrame, *by: str) -> DataFrame:
+    """Documents, chunks and characters, in all or by group."""
+    return chunks.groupBy(*by).agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+
+
+def made_ids(parts: DataFrame, doc: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """made_id: the number of each part in its document, in its id."""
+    number = F.row_number().over(Window.partitionBy(doc).orderBy(seq)) - 1
+    return parts.withColumn("made_id", F.concat(F.col(doc), F.lit("::c"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))))
+
+
+def read_passages(anchors: DataFrame, chunks: DataFrame, width: int = 1, most: int = 3000) -> DataFrame:
+    """(anchor_id, n, passage): each anchor with its neighbours in order, joined, at most ``most`` characters. At most seven chunks meet for one anchor."""
+    found = neighbours(anchors, chunks, width).join(chunks.select("chunk_id", "text"), "chunk_id")
+    parts = found.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "text"))).alias("parts"))
+    return parts.select("anchor_id", F.size("parts").alias("n"), F.left(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n"), F.lit(most)).alias("passage"))
+
+
 def neighbours(anchors: DataFrame, chunks: DataFrame, width: int = 1) -> DataFrame:
     """(anchor_id, chunk_id, seq, is_anchor): the chunks up to ``width`` (0 to 3) places before and after each anchor in its document.
 

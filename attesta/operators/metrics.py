@@ -105,6 +105,29 @@ def sessions(events: DataFrame, gap: str = "30 minutes", by: str = "user_id") ->
     return rows.select(by, F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), "n")
 
 
+def most_frequent(events: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """The n groups with most events; ties in the order of their names."""
+    return events.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), by).limit(n)
+
+
+def reached(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """The kinds of events that each key has had, and whether any failed. There are few kinds."""
+    return events.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("reached"), F.coalesce(F.bool_or(_failed()), F.lit(False)).alias("failed"))
+
+
+def of_class(events: DataFrame, code: Column, first: int, words: str | None = None, most: int = 100) -> DataFrame:
+    """The newest events whose code begins with a digit, if given only those whose type holds a text in any case."""
+    rows = events.where(F.floor(code / 10) == first)
+    if words:
+        rows = rows.where(F.lower("event_type").contains(words.lower()))
+    return rows.orderBy(F.col("event_id").desc()).limit(most)
+
+
+def in_state(state: DataFrame, last_type: str, most: int = 20) -> DataFrame:
+    """The keys whose last event is of a type, the newest first."""
+    return state.where(F.col("last_type") == last_type).orderBy(F.col("last_ts").desc(), "last_event").limit(most)
+
+
 def capped(column: Column, most: int) -> Column:
     """JSON text within a limit; longer ones as {"_truncated":true,"_originalChars":n,"preview":...}."""
     brief = F.to_json(F.struct(F.lit(True).alias("_truncated"), F.length(column).alias("_originalChars"), F.left(column, F.lit(most)).alias("preview")))

@@ -152,6 +152,27 @@ def fuse(hits: DataFrame, query: str = "query_id", key: str = "chunk_id", most:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+# Score from which a candidate is strong, and how many of the first are looked at for that and for the act they share.
+STRONG, STRONG_AMONG, ACT_AMONG = 0.40, 8, 5
+
+
+def pool_summary(pool: DataFrame, acts: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """(query, strong, top_score, act): strong candidates among the first eight, the best score, and the act that two or more of the first five share (of
+    equal counts that which comes first). ``acts`` is (key, act_code)."""
+    first = pool.where(F.col("rank") <= STRONG_AMONG)
+    sums = first.groupBy(query).agg(F.count_if(F.col("score") >= STRONG).alias("strong"), F.max("score").alias("top_score"))
+    counts = pool.where(F.col("rank") <= ACT_AMONG).join(acts.where("act_code != ''"), key).groupBy(query, "act_code").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    act = counts.where("n >= 2").groupBy(query).agg(F.max_by("act_code", F.struct("n", -F.col("first"))).alias("act"))
+    return sums.join(act, query, "left")
+
+
+def uncovered(items: DataFrame, key: str, item_text: str, candidate_text: str) -> DataFrame:
+    """(key, term): the words of a text, numbers aside, that do not stand in its candidate."""
+    terms = items.select(key, F.expr(text.level1(candidate_text)).alias("held"), F.explode(F.expr(text.content_tokens(item_text))).alias("term"))
+    terms = terms.where(~F.expr(text.number_like("term")))
+    return terms.where(~F.coalesce(F.expr(text.level2("held")).contains(F.col("term")), F.lit(False))).select(key, "term").distinct()
+
+
 def evidence_block(rank: Column, label: Column, status: Column, passage: Column, most: int = 1600) -> Column:
     """A numbered passage of at most ``most`` characters with its source and, where there is one, the note of its status."""
     attribute = lambda c: F.regexp_replace(F.replace(c, F.lit('"'), F.lit("&quot;")), r"[\n\r]", " ")

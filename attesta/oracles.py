@@ -180,6 +180,27 @@ def oracle_sql() -> dict[str, str]:
         "quote_guards": f"SELECT quote_id, {_numbers('q1')} = {_numbers('s1')} AS same_numbers, CAST({negations.format('q2')} AS INTEGER) AS quote_negations, CAST({negations.format('s2')} AS INTEGER) AS source_negations FROM {_QUOTE_LEVELS}",
         "ngram_sweep": f"SELECT threshold, tp, fp, tn, fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE round(tp / (tp + fn), 6) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE round(2 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM (SELECT t.threshold::DOUBLE AS threshold, {count('ok AND genuine')} AS tp, {count('ok AND NOT genuine')} AS fp, {count('NOT ok AND NOT genuine')} AS tn, {count('NOT ok AND genuine')} AS fn FROM (SELECT threshold, genuine, round(similarity, 6) >= threshold::DOUBLE AS ok FROM {_SIMILAR}, (VALUES {thresholds}) v(threshold) WHERE genuine IS NOT NULL) t GROUP BY 1)",
         "source_cover": "WITH sp AS (SELECT DISTINCT doc_id, length(text) AS size, unnest(chunks) AS c FROM sources), ps AS (SELECT DISTINCT doc_id, size, unnest(range(c.char_start, c.char_end)) AS p FROM sp) SELECT doc_id, count(*) AS covered, round(count(*) / max(size), 6) AS share FROM ps GROUP BY doc_id",
+        "source_list": f"SELECT doc_id, doc_title, doc_type, CAST(len(chunks) AS INTEGER) AS n_chunks, CAST(length(text) AS INTEGER) AS n_chars FROM {_STATUS}",
+        "web_ids": f"SELECT doc_id, 'web::' || sha1(source_url) AS web_id FROM {_STATUS} WHERE source_url <> ''",
+        "point_read": f"WITH {_CHUNKS} SELECT chunk_id, doc_id, seq FROM ch WHERE chunk_id IN (SELECT unnest(chunks).chunk_id FROM sources)",
+        "deleted_documents": f"WITH {_CHUNKS} SELECT chunk_id, doc_id FROM ch WHERE NOT coalesce(doc_id IN (SELECT doc_id FROM {_STATUS} WHERE doc_type = 'web'), false)",
+        "cited_sources": "SELECT DISTINCT quote_id, doc_id, coalesce(doc_id IN (SELECT doc_id FROM sources), false) AS valid FROM quotes",
+        "ingest_totals": "SELECT ingest_batch, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars FROM chunks GROUP BY 1",
+        "sign_off": f"SELECT doc_type, coalesce(nullif(lower(trim(verification_status)), ''), 'unverified') AS state, count(*) AS n_docs, CAST(sum(len(chunks)) AS BIGINT) AS n_chunks FROM {_STATUS} GROUP BY 1, 2",
+        "chunk_ids": f"WITH {_CHUNKS} SELECT chunk_id, doc_id || '::c' || format('{{:03d}}', row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) AS made_id FROM ch",
+        "read_passages": f"WITH {_CHUNKS}, ok AS (SELECT * FROM ch WHERE text IS NOT NULL) SELECT a.chunk_id AS anchor_id, CAST(count(*) AS INTEGER) AS n, md5(left(string_agg(c.text, chr(10) || chr(10) ORDER BY c.seq, c.chunk_id), 3000)) AS passage_hash FROM ok a JOIN ok c ON c.doc_id = a.doc_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1 GROUP BY 1",
+        "distinct_acts": "SELECT count(*) AS n_acts, string_agg(act_code || ':' || n, ' ' ORDER BY act_code) AS counts FROM (SELECT act_code, count(*) AS n FROM documents WHERE act_code <> '' GROUP BY 1)",
+        "qualifier_search": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{text.QUALIFIER_SEARCH}')",
+        "case_citations": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{text.CASE_CITATION}'))) AS citation FROM documents",
+        "pool_summary": f"WITH {_FUSED}, ct AS (SELECT query_id, d.act_code, count(*) AS n, min(rank) AS r FROM fused JOIN documents d USING (doc_id) WHERE rank <= 5 AND d.act_code <> '' GROUP BY 1, 2), "
+        "ac AS (SELECT query_id, act_code AS act FROM ct WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, r) = 1) SELECT query_id, count(*) FILTER (score >= 0.4::DOUBLE) AS strong, max(score) AS top_score, any_value(act) AS act FROM fused LEFT JOIN ac USING (query_id) WHERE rank <= 8 GROUP BY query_id",
+        "pool_trace": f"WITH {_FUSED} SELECT query_id, doc_id, rank, round(score, 4) AS score, round(dense * 0.5::DOUBLE, 4) AS of_dense, round(ref_hit::INT * 0.3::DOUBLE, 4) AS of_ref, round(exact_hit::INT * 0.2::DOUBLE, 4) AS of_exact, routes FROM fused WHERE rank <= 12",
+        "uncovered_terms": f"WITH qs AS {_UNIQUE}, tm AS {_terms('qs', 'quote_id', 'quote')}, hd AS (SELECT quote_id, {quoted} AS f FROM qs) SELECT quote_id, term FROM tm JOIN hd USING (quote_id) WHERE NOT coalesce(contains(f, term), false) AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ({', '.join(repr(w) for w in text.NUMBER_WORDS)})",
+        "quote_cut": "SELECT DISTINCT quote_id, md5(left(quote, 600)) AS cut_hash, length(quote) > 600 AS truncated FROM quotes WHERE quote IS NOT NULL",
+        "top_types": "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 10",
+        "reached_types": "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS reached, bool_or(event_type = 'error') AS failed FROM events GROUP BY 1",
+        "requests_of_class": "SELECT event_id, event_type, user_id FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) // 10 = 3 AND contains(lower(event_type), 'cl') ORDER BY event_id DESC LIMIT 100",
+        "failed_users": f"SELECT user_id, last_event, n FROM {_LATEST} WHERE last_type = 'error' ORDER BY last_ts DESC, last_event LIMIT 20",
         "request_metrics": _TOTALS,
         "request_percentiles": _discrete(),
         "request_percentiles_by_type": _discrete("event_type"),

@@ -118,6 +118,61 @@ def document_order(spark, sf_dir):
     return rows.select("doc_id", F.coalesce("act_code", "own_code").alias("act_code"), F.coalesce("title", "own_title").alias("title"), F.coalesce("n_names", F.lit(0)).alias("n_names")).orderBy("doc_id")
 
 
+def source_list(spark, sf_dir):
+    return corpus.source_list(table(spark, sf_dir, "sources"))
+
+
+def web_ids(spark, sf_dir):
+    """Ids of the stored pages that have an address."""
+    rows = corpus.last_sources(table(spark, sf_dir, "sources"), "source_url").where("source_url != ''")
+    return rows.select("doc_id", corpus.web_id(F.col("source_url")).alias("web_id"))
+
+
+def point_read(spark, sf_dir):
+    """The chunks that the stored documents name, by their ids."""
+    ids = table(spark, sf_dir, "sources").select(F.explode("chunks.chunk_id").alias("chunk_id"))
+    return corpus.by_ids(_chunks(spark, sf_dir, "doc_id", "seq"), ids, "chunk_id")
+
+
+def deleted_documents(spark, sf_dir):
+    """The chunks that stay when all documents of the web are deleted."""
+    gone = corpus.last_sources(table(spark, sf_dir, "sources"), "doc_type").where("doc_type = 'web'")
+    return corpus.without_ids(_chunks(spark, sf_dir, "doc_id"), gone, "doc_id").select("chunk_id", "doc_id")
+
+
+def cited_sources(spark, sf_dir):
+    """Whether the document that a quote names is stored."""
+    rows = table(spark, sf_dir, "quotes").select("quote_id", "doc_id").distinct()
+    return corpus.known_ids(rows, table(spark, sf_dir, "sources"), "doc_id").select("quote_id", "doc_id", "valid")
+
+
+def ingest_totals(spark, sf_dir):
+    return corpus.ingest_totals(table(spark, sf_dir, "chunks"), "ingest_batch")
+
+
+def sign_off(spark, sf_dir):
+    """Documents and passages by type and state of verification."""
+    state = F.coalesce(F.nullif(F.lower(F.trim("verification_status")), F.lit("")), F.lit("unverified")).alias("state")
+    rows = corpus.last_sources(table(spark, sf_dir, "sources"), "doc_type", "verification_status", "chunks").select("doc_type", state, F.size("chunks").alias("n"))
+    return rows.groupBy("doc_type", "state").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"))
+
+
+def chunk_ids(spark, sf_dir):
+    return corpus.made_ids(_chunks(spark, sf_dir, "doc_id", "seq")).select("chunk_id", "made_id")
+
+
+def read_passages(spark, sf_dir):
+    rows = _chunks(spark, sf_dir, "doc_id", "seq", "text").where("text IS NOT NULL")
+    return corpus.read_passages(rows, rows).select("anchor_id", "n", F.md5("passage").alias("passage_hash"))
+
+
+def distinct_acts(spark, sf_dir):
+    """The acts of the documents with their counts, as one line. There are few acts."""
+    rows = table(spark, sf_dir, "documents").where("act_code != ''").groupBy("act_code").agg(F.count("*").alias("n"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("act_code", "n"))), lambda x: F.concat_ws(":", x["act_code"], x["n"].cast("string"))), " ")
+    return rows.agg(F.count("*").alias("n_acts"), line.alias("counts"))
+
+
 # Filters
 
 
@@ -150,6 +205,16 @@ def qualified_provisions(spark, sf_dir):
     return rows.select("chunk_id", F.col("text").rlike(text.QUALIFIER).alias("qualified"), F.col("text").rlike(text.RECENT).alias("recent")).where("qualified OR recent")
 
 
+def qualifier_search(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(text.QUALIFIER_SEARCH)).select("doc_id")
+
+
+def case_citations(spark, sf_dir):
+    """The case citations in all documents."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({text.CASE_CITATION})"), 1))).alias("citation")
+    return table(spark, sf_dir, "documents").select("doc_id", found)
+
+
 # References
 
 
@@ -274,6 +339,22 @@ def term_coverage(spark, sf_dir):
     return retrieve.coverage(rows, rows.select("quote_id", "source"), "quote_id", "quote", "source")
 
 
+def pool_summary(spark, sf_dir):
+    return retrieve.pool_summary(fusion_pool(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "act_code"))
+
+
+def pool_trace(spark, sf_dir):
+    """The first twelve candidates of each query with the parts of their score."""
+    part = lambda c, w: F.round(F.col(c).cast("double") * retrieve.WEIGHTS[w], 4)
+    rows = fusion_pool(spark, sf_dir).where("rank <= 12")
+    return rows.select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"), part("dense", "dense").alias("of_dense"), part("ref_hit", "ref").alias("of_ref"), part("exact_hit", "exact").alias("of_exact"), "routes")
+
+
+def uncovered_terms(spark, sf_dir):
+    rows = table(spark, sf_dir, "quotes").select("quote_id", "source", "quote").distinct()
+    return retrieve.uncovered(rows, "quote_id", "quote", "source")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion_pool(spark, sf_dir)
 
@@ -338,6 +419,12 @@ def evidence_packet(spark, sf_dir):
     return blocks.select("query_id", F.array_join(F.transform("blocks", lambda x: x["block"]), "\n\n").alias("packet"))
 
 
+def quote_cut(spark, sf_dir):
+    """How much of each quote is checked."""
+    rows = table(spark, sf_dir, "quotes").where("quote IS NOT NULL").select("quote_id", "quote").distinct()
+    return rows.select("quote_id", F.md5(F.left("quote", F.lit(text.MOST_QUOTE_CHARS))).alias("cut_hash"), (F.length("quote") > text.MOST_QUOTE_CHARS).alias("truncated"))
+
+
 # Events
 
 
@@ -386,6 +473,22 @@ def user_state(spark, sf_dir):
     return metrics.latest(_events(spark, sf_dir)).select("user_id", "last_type", "last_event", "n")
 
 
+def top_types(spark, sf_dir):
+    return metrics.most_frequent(_events(spark, sf_dir), "event_type")
+
+
+def reached_types(spark, sf_dir):
+    return metrics.reached(_events(spark, sf_dir))
+
+
+def requests_of_class(spark, sf_dir):
+    return metrics.of_class(_events(spark, sf_dir), F.get_json_object("props", "$.k").cast("int"), 3, "CL").select("event_id", "event_type", "user_id")
+
+
+def failed_users(spark, sf_dir):
+    return metrics.in_state(metrics.latest(_events(spark, sf_dir)), "error").select("user_id", "last_event", "n")
+
+
 def expired_users(spark, sf_dir):
     return metrics.expired(metrics.latest(_events(spark, sf_dir)), 60, "2024-01-30 00:00:00").select("user_id", "last_event")
 
@@ -448,7 +551,8 @@ _PLAIN = [
     query_fingerprints, dense_topk, dense_topk_filtered, vector_norms, fusion_pool, term_coverage, quote_tiers, quote_check, quote_guards, threshold_sweep,
     guard_contribution, ngram_sweep, source_cover, evidence_packet, request_metrics, request_percentiles, request_percentiles_by_type, request_by_type,
     request_by_class, ring_last_n, ring_last_n_by_user, window_recent, events_since, event_numbers, user_state, expired_users, hourly_windows, user_sessions,
-    capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_closed_windows, stream_dedup, stream_user_state,
+    capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_closed_windows, stream_dedup, stream_user_state, source_list, web_ids, point_read, deleted_documents, cited_sources, ingest_totals, sign_off, chunk_ids,
+    read_passages, distinct_acts, qualifier_search, case_citations, pool_summary, pool_trace, uncovered_terms, quote_cut, top_types, reached_types, requests_of_class, failed_users,
 ]
 
 
