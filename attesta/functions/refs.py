@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 from attesta.session import cut
 
 MOST_ACTS = 5000
+# How sections and articles are written, for parsing one reference and for finding all in a text.
 SECTION = r"(?i)(?:section|sections|sec\.?|s\.|§)\s*(\d+[A-Z]{0,2})(?:\s*\((\w+)\))?"
 ARTICLE = r"(?i)(?:article|art\.?)\s*(\d+[A-Z]?)(?:\s*\((\w+)\))?(?:\s*\((\w+)\))?"
+WRITTEN_SECTION = r"(?i)(?:section|sec\.?|s\.|§)\s*\d+[A-Z]{0,2}(?:\s*\(\w+\))?(?:\s*,?\s*of\s+(?:the\s+)?[A-Za-z .]{2,60})?"
+WRITTEN_ARTICLE = r"(?i)(?:article|art\.)\s*\d+[A-Z]?(?:\s*\(\w+\))?(?:\s*\(\w+\))?"
+WRITTEN_ANY = r"(?i)(section|sec\.|s\.|§|article|art\.)\s*\d"
 
 
 def act_names(acts: DataFrame) -> list[tuple[str, str]]:
@@ -90,15 +94,22 @@ def label(key: Column) -> Column:
 
 
 def mentions(df: DataFrame, key: str, text: str, acts: DataFrame, about: str | None = None) -> DataFrame:
-    """(key, ref_key): every provision that a text names by number, with the act named right behind it, else anywhere in the text, else in column ``about``."""
+    """(key, ref_key): every provision that a text names by number, with the act named right behind it, else anywhere in the text, else in column ``about``;
+    and every number right behind the code of an act. Texts without any reference are passed over before the names of acts are looked for."""
     names = act_names(acts)
-    tail = r"(?i)(?:section|sec\.?|s\.|§)\s*\d+[A-Z]{0,2}(?:\s*\(\w+\))?(?:\s*,?\s*of\s+(?:the\s+)?[A-Za-z .]{2,60})?"
-    article = r"(?i)(?:article|art\.)\s*\d+[A-Z]?(?:\s*\(\w+\))?(?:\s*\(\w+\))?"
+    codes = "|".join(re.escape(c) for c in sorted({c for _, c in names}, key=lambda c: (-len(c), c)))
+    bare = rf"(?i)\b(?:{codes})\s+\d+[A-Z]{{0,2}}\b"
     whole = F.coalesce(act_code(F.col(text), names), *([F.col(about)] if about else []))
-    raw = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(tail), 0), F.regexp_extract_all(text, F.lit(article), 0)))
-    rows = df.where(F.col(text).rlike(r"(?i)(section|sec\.|s\.|§|article|art\.)\s*\d")).select(key, whole.alias("around"), F.explode(raw).alias("raw"))
-    rows = rows.withColumn("act", F.coalesce(act_code(F.col("raw"), names), "around"))
-    return rows.select(key, ref_key(parsed(F.col("raw"), F.col("act"))).alias("ref_key")).where("ref_key != ''").distinct()
+    raw = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(WRITTEN_SECTION), 0), F.regexp_extract_all(text, F.lit(WRITTEN_ARTICLE), 0)))
+    rows = df.where(F.col(text).rlike(WRITTEN_ANY)).select(key, whole.alias("around"), F.explode(raw).alias("raw"))
+    # What a text writes is written again and again; the act behind it is told once for each different one.
+    acts_of = rows.select("raw").distinct().select("raw", act_code(F.col("raw"), names).alias("named"))
+    rows = rows.join(acts_of, "raw").withColumn("act", F.coalesce("named", "around"))
+    found = rows.select(key, ref_key(parsed(F.col("raw"), F.col("act"))).alias("ref_key")).where("ref_key != ''")
+    if codes:
+        short = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(bare), 0))).alias("raw"))
+        found = found.unionByName(short.select(key, F.upper(F.regexp_replace("raw", r"^(\w+)\s+", "$1:S")).alias("ref_key")))
+    return found.distinct()
 
 
 def closure(keys: DataFrame, equivalences: DataFrame, key: str = "ref_key") -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,36 @@ def tiered(rows: DataFrame, key: str = "quote_id", source: str = "source", quote
     return rows.withColumn("tier", tier)
 
 
+def near_windows(source: list[str], quote: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(width tried, place, words) of the windows of a source that share enough of their different words with a quote; counts move along with the window."""
+    n, wanted, tried = len(quote), set(quote), []
+    for width in (max(1, math.floor(n * (1 - SLACK))), n, max(1, math.ceil(n * (1 + SLACK)))):
+        if width in tried or width > len(source):
+            continue
+        tried.append(width)
+        counts = Counter(source[: width - 1])
+        common = len(wanted & counts.keys())
+        for at in range(len(source) - width + 1):
+            new = source[at + width - 1]
+            if counts[new] == 0:
+                common += new in wanted
+            counts[new] += 1
+            if common >= PREFILTER * (len(wanted) + len(counts) - common):
+                yield len(tried), at + 1, " ".join(source[at : at + width])
+            old = source[at]
+            counts[old] -= 1
+            if counts[old] == 0:
+                del counts[old]
+                common -= old in wanted
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [(i, order, at, w, q) for i, (s, q) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) for order, at, w in near_windows(s.split(" "), q.split(" "))]
+        i, order, at, w, q = zip(*own) if own else ((),) * 5
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array(order, pa.int32()), pa.array(at, pa.int32()), pa.array(w, pa.string()), pa.array(q, pa.string())], ["k", "order", "at", "w", "q"])
+
+
 def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quote: str = "quote") -> DataFrame:
     """(key, tier, similarity, matched): exact where the quote stands in the source at level 1, normalized at level 2, else the most similar run of words.
 
@@ -40,14 +75,8 @@ def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quot
     rows = tiered(rows, key, source, quote)
     hit = rows.where("tier != 'none'").select(key, "tier", F.lit(1.0).alias("similarity"), F.when(F.col("tier") == "exact", F.col("q1")).otherwise(F.col("q2")).alias("matched"))
     open_rows = rows.where("tier = 'none'")
-    words = open_rows.select(key, F.filter(F.split("s2", " "), lambda w: w != "").alias("s"), F.filter(F.split("q2", " "), lambda w: w != "").alias("q")).where("size(s) > 0 AND size(q) > 0")
-    n = F.size("q")
-    widths = F.array_distinct(F.array(F.greatest(F.lit(1), F.floor(n * (1 - SLACK))).cast("int"), n, F.greatest(F.lit(1), F.ceil(n * (1 + SLACK))).cast("int")))
-    places = words.select(key, "s", "q", F.posexplode(widths).alias("order", "width")).where("width <= size(s)")
-    places = places.select(key, "s", "q", "order", "width", F.explode(F.sequence(F.lit(1), F.size("s") - F.col("width") + 1)).alias("at"))
-    windows = places.select(key, "q", "order", "at", F.slice("s", F.col("at"), F.col("width")).alias("w"))
-    both = F.size(F.array_intersect("q", "w"))  # of the distinct words; the union follows from the two sizes
-    windows = windows.withColumn("common", both).where(F.col("common") >= PREFILTER * (F.size(F.array_distinct("q")) + F.size(F.array_distinct("w")) - F.col("common"))).select(key, "order", "at", F.array_join("w", " ").alias("w"), F.array_join("q", " ").alias("q"))
+    kind = rows.schema[key].dataType.simpleString()
+    windows = open_rows.where("s2 != '' AND q2 != ''").select(key, "s2", "q2").mapInArrow(_windows, f"k {kind}, order int, at int, w string, q string").withColumnRenamed("k", key)
     most = F.greatest(F.length("w"), F.length("q"))
     near = windows.withColumn("similarity", 1 - F.levenshtein("w", "q") / most).where(F.col("similarity") >= PARTIAL * 0.9)
     best = near.groupBy(key).agg(F.max_by(F.struct("similarity", "w"), F.struct("similarity", -F.col("order"), -F.col("at"))).alias("b"))
@@ -55,9 +84,10 @@ def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quot
     return hit.unionByName(fuzzy)
 
 
-def guarded(rows: DataFrame, matches: DataFrame, key: str = "quote_id", quote: str = "quote") -> DataFrame:
-    """matches with guards (those that fire, sorted) and status (verified, partially_verified, rejected) after them."""
-    quotes = rows.select(key, F.expr(text.level1(quote)).alias("q1")).dropDuplicates([key])
+def guarded(rows: DataFrame, matches: DataFrame, key: str = "quote_id", quote: str = "quote", source: str = "source") -> DataFrame:
+    """matches with guards (those that fire, sorted) and status (verified, partially_verified, rejected) after them. A quote whose source has no text at hand
+    fires source_unavailable and nothing else."""
+    quotes = rows.select(key, F.expr(text.level1(quote)).alias("q1"), F.col(source).isNull().alias("unavailable")).dropDuplicates([key])
     both = matches.join(quotes, key)
     q2 = F.expr(text.level2("q1"))
     found = F.col("tier") != "none"
@@ -65,8 +95,9 @@ def guarded(rows: DataFrame, matches: DataFrame, key: str = "quote_id", quote: s
     numbers = found & (F.expr(text.numeric_tokens("q1")) != F.expr(text.numeric_tokens("matched")))
     negations = found & (F.expr(text.negation_count(text.level2("q1"))) != F.expr(text.negation_count(text.level2("matched"))))
     guards = F.array_compact(F.array(F.when(negations, "negation_mismatch"), F.when(numbers, "number_mismatch"), F.when(short, "quote_too_short")))
+    guards = F.when(F.col("unavailable"), F.array(F.lit("source_unavailable"))).otherwise(guards)
     base = F.when(F.col("tier").isin("exact", "normalized") | (F.col("similarity") >= VERIFIED), "verified").when(F.col("similarity") >= PARTIAL, "partially_verified").otherwise("rejected")
-    rejected = F.array_contains("guards", "number_mismatch") | F.array_contains("guards", "quote_too_short") | (F.col("base") == "rejected")
+    rejected = F.array_contains("guards", "number_mismatch") | F.array_contains("guards", "quote_too_short") | F.array_contains("guards", "source_unavailable") | (F.col("base") == "rejected")
     demoted = F.array_contains("guards", "negation_mismatch")
     status = F.when(rejected, "rejected").when(demoted & (F.col("base") == "verified"), "partially_verified").when(demoted, "rejected").otherwise(F.col("base"))
     return both.withColumns({"guards": guards, "base": base}).select(key, "tier", F.round("similarity", 4).alias("similarity"), "guards", status.alias("status"))

@@ -152,6 +152,54 @@ def fuse(hits: DataFrame, query: str = "query_id", key: str = "chunk_id", most:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+# Jaccard of character 5-grams from which two candidates are one; sets are sketched by their least value in each of so many classes, in bands.
+NEAR, CLASSES, BAND = 0.90, 64, 4
+
+
+def _near_pairs(rows: DataFrame, forms: DataFrame, query: str, key: str) -> DataFrame:
+    """(query, ord, before): for each candidate the better ranked ones of its query whose n-gram sets reach NEAR.
+
+    Candidates of one query that agree in a band of minima are compared exactly; two sets at NEAR miss all sixteen bands with probability 4e-8.
+    """
+    least = forms.select(key, F.explode("grams").alias("g")).groupBy(key, F.pmod("g", F.lit(CLASSES)).alias("class")).agg(F.min("g").alias("least"))
+    bands = least.groupBy(key, F.floor(F.col("class") / BAND).alias("band")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("class", "least")))).alias("sketch"))
+    placed = rows.select(query, key, "ord").join(bands, key)
+    a, b = (placed.select(query, "band", "sketch", F.col(key).alias(f"key_{x}"), F.col("ord").alias(f"ord_{x}")) for x in "ab")
+    pairs = a.join(b, [query, "band", "sketch"]).where("ord_a < ord_b").select(query, "key_a", "key_b", "ord_a", "ord_b").distinct()
+    for x in "ab":
+        pairs = pairs.join(forms.select(F.col(key).alias(f"key_{x}"), F.col("grams").alias(f"grams_{x}")), f"key_{x}")
+    near = pairs.where(text.jaccard(F.col("grams_a"), F.col("grams_b")) >= NEAR)
+    return near.groupBy(query, F.col("ord_b").alias("ord")).agg(F.collect_list("ord_a").alias("before"))
+
+
+def merged(pool: DataFrame, texts: DataFrame, query: str = "query_id", key: str = "chunk_id", column: str = "text", weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """A ranked pool (of ``fuse``) in which copies and near-duplicates are one candidate each, ranked anew, with the keys that were merged as ``duplicates``.
+
+    Candidates with the same letters and digits go to the best ranked of them; then, in order of rank, each goes to the best ranked of those still standing
+    whose 5-gram Jaccard with it reaches NEAR. Who stays takes over the best similarity, all hits and all routes; whether it is from the web or a neighbour is
+    its own. ``texts`` is (key, text); candidates without a text stay as they are. Lists are as short as ``fuse`` makes them, and only their texts are read.
+    """
+    forms = texts.join(pool.select(key).distinct(), key, "left_semi").where(F.col(column).isNotNull())
+    forms = kept(forms.select(key, F.sha1(F.expr(text.level2(text.level1(column)))).alias("hash"), F.expr(text.char_ngrams(column)).alias("grams")))
+    rows = kept(pool.withColumnRenamed("rank", "ord").join(forms.select(key, "hash"), key, "left"))
+    same = rows.where("hash IS NOT NULL").groupBy(query, "hash").agg(F.min("ord").alias("twin"))
+    rows = rows.join(same, [query, "hash"], "left").withColumn("twin", F.coalesce("twin", "ord"))
+    near = _near_pairs(rows.where("ord = twin"), forms, query, key)
+    none = F.array().cast("array<int>")
+    stands = lambda gone, x: F.array_except(x["before"], gone)
+    lists = near.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("ord", "before"))).alias("all"))
+    lists = lists.withColumn("gone", F.aggregate("all", none, lambda gone, x: F.when(F.size(stands(gone, x)) > 0, F.array_append(gone, x["ord"])).otherwise(gone)))
+    moved = lists.select(query, "gone", F.explode("all").alias("x")).select(query, F.col("x.ord").alias("twin"), F.array_min(stands(F.col("gone"), F.col("x"))).alias("lead"))
+    rows = rows.join(moved, [query, "twin"], "left").withColumn("lead", F.coalesce("lead", "twin"))
+    first = lambda c: F.min_by(c, "ord").alias(c)
+    one = rows.groupBy(query, "lead").agg(
+        first(key), F.max("dense").alias("dense"), F.bool_or("ref_hit").alias("ref_hit"), F.bool_or("exact_hit").alias("exact_hit"), first("is_web"), first("is_neighbour"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("routes", ","))))), ",").alias("routes"), F.array_sort(F.collect_list(F.when(F.col("ord") != F.col("lead"), F.col(key)))).alias("duplicates"),
+    )
+    one = one.drop("lead").withColumn("score", F.round(score(*[F.col(c) for c in ("dense", "ref_hit", "exact_hit", "is_web", "is_neighbour")], weights), 7))
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), key)))
+
+
 # Score from which a candidate is strong, and how many of the first are looked at for that and for the act they share.
 STRONG, STRONG_AMONG, ACT_AMONG = 0.40, 8, 5
 

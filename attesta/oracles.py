@@ -119,6 +119,24 @@ _LATEST = "(SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, ar
 _HOURS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
+# Copies by hash of their letters and digits, then near-duplicates. A chain, in which one that is merged itself is the best for another, is not told apart here.
+_MERGED = (
+    _FUSED
+    + f", sq AS MATERIALIZED (SELECT doc_id, sha1({_level2('f1')}) AS hash, s FROM (SELECT doc_id, {_level1('text')} AS f1, "
+    + r"trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM documents WHERE doc_id IN (SELECT doc_id FROM fused WHERE rank <= 40))), "
+    "pl AS MATERIALIZED (SELECT fused.*, hash, list_distinct(list_transform(range(1, greatest(length(s) - 3, 1)), lambda i: substring(s, i, 5))) AS g FROM fused LEFT JOIN sq USING (doc_id) WHERE rank <= 40), "
+    "tw AS (SELECT *, coalesce(CASE WHEN hash IS NOT NULL THEN min(rank) OVER (PARTITION BY query_id, hash) END, rank) AS twin FROM pl), "
+    "gr AS (SELECT query_id, rank, len(g) AS size, unnest(g) AS gram FROM tw WHERE rank = twin), "
+    "mt AS (SELECT a.query_id, a.rank AS lead, b.rank AS twin, any_value(a.size) AS x, any_value(b.size) AS y, count(*) AS met FROM gr a JOIN gr b ON a.query_id = b.query_id AND a.gram = b.gram AND a.rank < b.rank GROUP BY 1, 2, 3), "
+    "nr AS (SELECT query_id, twin, min(lead) AS lead FROM mt WHERE met >= 0.9::DOUBLE * (x + y - met) "
+    "GROUP BY 1, 2), "
+    "ld AS (SELECT tw.*, coalesce(nr.lead, twin) AS lead FROM tw LEFT JOIN nr USING (query_id, twin)), "
+    "rt AS (SELECT query_id, lead, string_agg(DISTINCT r, ',' ORDER BY r) AS routes FROM (SELECT query_id, lead, unnest(string_split(routes, ',')) AS r FROM ld) GROUP BY 1, 2), "
+    "mg AS (SELECT query_id, lead, arg_min(doc_id, rank) AS doc_id, max(dense) AS dense, bool_or(ref_hit) AS ref_hit, bool_or(exact_hit) AS exact_hit, false AS is_web, arg_min(is_neighbour, rank) AS is_neighbour, coalesce(string_agg(doc_id, ',' ORDER BY doc_id) FILTER (rank <> lead), '') AS duplicates FROM ld GROUP BY 1, 2), "
+    "ms AS (SELECT mg.* EXCLUDE (lead), routes, round(greatest(0, least(1, 0.5::DOUBLE * dense + 0.3::DOUBLE * ref_hit::INT + 0.2::DOUBLE * exact_hit::INT - 0.05::DOUBLE * is_neighbour::INT)), 7) AS score FROM mg JOIN rt USING (query_id, lead))"
+)
+
+
 def _discrete(by: str = "") -> str:
     head, tail = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return f"SELECT {head}" + ", ".join(f"round(quantile_disc(value, {p / 100}), 2) AS p{p}" for p in (50, 95, 99)) + " FROM events" + tail
@@ -192,6 +210,8 @@ def oracle_sql() -> dict[str, str]:
         "distinct_acts": "SELECT count(*) AS n_acts, string_agg(act_code || ':' || n, ' ' ORDER BY act_code) AS counts FROM (SELECT act_code, count(*) AS n FROM documents WHERE act_code <> '' GROUP BY 1)",
         "qualifier_search": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{text.QUALIFIER_SEARCH}')",
         "case_citations": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{text.CASE_CITATION}'))) AS citation FROM documents",
+        "pool_merged": f"WITH {_MERGED} SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ms",
+        "pool_duplicates": f"WITH {_MERGED} SELECT query_id, doc_id, CAST(unnest(string_split(duplicates, ',')) AS BIGINT) AS duplicate FROM ms WHERE duplicates <> ''",
         "pool_summary": f"WITH {_FUSED}, ct AS (SELECT query_id, d.act_code, count(*) AS n, min(rank) AS r FROM fused JOIN documents d USING (doc_id) WHERE rank <= 5 AND d.act_code <> '' GROUP BY 1, 2), "
         "ac AS (SELECT query_id, act_code AS act FROM ct WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, r) = 1) SELECT query_id, count(*) FILTER (score >= 0.4::DOUBLE) AS strong, max(score) AS top_score, any_value(act) AS act FROM fused LEFT JOIN ac USING (query_id) WHERE rank <= 8 GROUP BY query_id",
         "pool_trace": f"WITH {_FUSED} SELECT query_id, doc_id, rank, round(score, 4) AS score, round(dense * 0.5::DOUBLE, 4) AS of_dense, round(ref_hit::INT * 0.3::DOUBLE, 4) AS of_ref, round(exact_hit::INT * 0.2::DOUBLE, 4) AS of_exact, routes FROM fused WHERE rank <= 12",

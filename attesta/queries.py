@@ -339,6 +339,20 @@ def term_coverage(spark, sf_dir):
     return retrieve.coverage(rows, rows.select("quote_id", "source"), "quote_id", "quote", "source")
 
 
+def _merged(spark, sf_dir):
+    return retrieve.merged(fusion_pool(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id")
+
+
+def pool_merged(spark, sf_dir):
+    """The pool without copies and near-duplicates."""
+    return _merged(spark, sf_dir).withColumn("duplicates", F.array_join(F.col("duplicates").cast("array<string>"), ","))
+
+
+def pool_duplicates(spark, sf_dir):
+    """Which candidate stands for which others."""
+    return _merged(spark, sf_dir).select("query_id", "doc_id", F.explode("duplicates").alias("duplicate"))
+
+
 def pool_summary(spark, sf_dir):
     return retrieve.pool_summary(fusion_pool(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "act_code"))
 
@@ -552,7 +566,7 @@ _PLAIN = [
     guard_contribution, ngram_sweep, source_cover, evidence_packet, request_metrics, request_percentiles, request_percentiles_by_type, request_by_type,
     request_by_class, ring_last_n, ring_last_n_by_user, window_recent, events_since, event_numbers, user_state, expired_users, hourly_windows, user_sessions,
     capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_closed_windows, stream_dedup, stream_user_state, source_list, web_ids, point_read, deleted_documents, cited_sources, ingest_totals, sign_off, chunk_ids,
-    read_passages, distinct_acts, qualifier_search, case_citations, pool_summary, pool_trace, uncovered_terms, quote_cut, top_types, reached_types, requests_of_class, failed_users,
+    read_passages, distinct_acts, qualifier_search, case_citations, pool_merged, pool_duplicates, pool_summary, pool_trace, uncovered_terms, quote_cut, top_types, reached_types, requests_of_class, failed_users,
 ]
 
 

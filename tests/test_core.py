@@ -79,6 +79,34 @@ def test_quote_ladder(spark):
     assert got[1].status == got[2].status == "verified" and got[7].status == "partially_verified" and got[7].similarity >= 0.85
 
 
+def test_quote_without_a_source(spark):
+    df = spark.createDataFrame([(1, None, "No officer shall remove the sealed register at all"), (2, "", "No officer shall remove the sealed register at all")], "quote_id long, source string, quote string")
+    got = {r.quote_id: (r.guards, r.status) for r in quotes.guarded(df, quotes.matched(df)).collect()}
+    assert got == {1: (["source_unavailable"], "rejected"), 2: ([], "rejected")}
+
+
+def test_near_windows_equal_brute_force():
+    import math
+    import random
+
+    rng = random.Random(1)
+    for _ in range(60):
+        s, q = ([rng.choice("abcdef") for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        widths = list(dict.fromkeys(max(1, x) for x in (math.floor(len(q) * 0.8), len(q), math.ceil(len(q) * 1.2))))
+        want, order = [], 0
+        for w in (w for w in widths if w <= len(s)):
+            order += 1
+            want += [(order, i + 1, " ".join(s[i : i + w])) for i in range(len(s) - w + 1) if len(set(q) & set(s[i : i + w])) >= 0.5 * len(set(q) | set(s[i : i + w]))]
+        assert list(quotes.near_windows(s, q)) == want
+
+
+def test_bare_references(spark):
+    acts = spark.createDataFrame([("IPC", ["Indian Penal Code"]), ("HTA", ["Harbour Tolls Act"])], "act_code string, names array<string>")
+    rows = [(1, "see IPC 302 and HTA  66A."), (2, "the XIPC 302, ipc 40"), (3, None), (4, "")]
+    got = {tuple(r) for r in refs.mentions(spark.createDataFrame(rows, "id long, t string"), "id", "t", acts).collect()}
+    assert got == {(1, "IPC:S302"), (1, "HTA:S66A"), (2, "IPC:S40")}
+
+
 def test_nearest_blocks(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
     one = retrieve.nearest(vectors.where("vec_id % 5 = 0"), vectors, top=3, block=1000)

@@ -45,3 +45,15 @@ def test_packet_keeps_whole_passages(spark, tmp_path):
     assert all(b.startswith(f'<evidence id="E{i}"') and b.endswith("\n" + "s" * 1600 + "\n</evidence>") for i, b in enumerate(blocks[1:], 2)) and 'source="gazette — notice"' in blocks[5]
     shown = spark.range(3).select(retrieve.evidence_block(F.lit(1), F.lit("a"), F.element_at(F.array(F.lit("read_down"), F.lit("odd"), F.lit(None)), (F.col("id") + 1).cast("int")), F.lit(None)).alias("b")).collect()
     assert [r.b.split(">")[0] for r in shown] == ['<evidence id="E1" source="a" status="read down or kept in abeyance by a court"', '<evidence id="E1" source="a" status="odd"', '<evidence id="E1" source="a"']
+
+
+def test_copies_and_near_duplicates_are_merged(spark):
+    base = " ".join(f"word{i} of the harbour" for i in range(60))
+    texts = {1: base, 2: base.upper() + "!", 3: base + " and", 4: base + " and then some more", 5: "wholly other words", 6: None, 7: None, 8: "abc", 9: "abd", 10: "abc"}
+    scores = {1: 0.5, 2: 0.9, 3: 0.7, 4: 0.6, 5: 0.4, 6: 0.3, 7: 0.3, 8: 0.2, 9: 0.2, 10: 0.1}
+    hits = [(1, k, "ref" if k == 3 else "dense", d, k == 3, False, False, k == 4) for k, d in scores.items()] + [(2, 1, "dense", 0.1, False, False, False, False)]
+    pool = retrieve.fuse(spark.createDataFrame(hits, "query_id int, chunk_id long, route string, dense double, ref_hit boolean, exact_hit boolean, is_web boolean, is_neighbour boolean"))
+    got = {(r.query_id, r.chunk_id): (r.duplicates, r.routes, r.score, r.rank) for r in retrieve.merged(pool, spark.createDataFrame(list(texts.items()), "chunk_id long, text string")).collect()}
+    # 3 is first by its score (0.65) and takes in 2 with its copy 1, and 4; short texts have no n-grams, so all of them count as alike.
+    assert got[1, 3] == ([1, 2, 4], "dense,ref", 0.75, 1) and got[1, 5][0] == [] and got[1, 6][0] == got[1, 7][0] == [] and got[2, 1] == ([], "dense", 0.05, 1)
+    assert got[1, 8][0] == [10] and got[1, 9][0] == []
