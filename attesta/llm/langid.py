@@ -168,9 +168,11 @@ def _segments(spans: list[tuple[int, int]], scores: np.ndarray, sizes: list[int]
 
 @dataclass(frozen=True)
 class Sample:
-    """The bound of the training sample: documents of each label, chosen by a seeded hash, and rounds of expectation-maximisation."""
+    """The bound of the training sample: documents of each label, chosen by a seeded hash among those of at most ``chars`` characters, and rounds of
+    expectation-maximisation."""
 
     documents: int = 250
+    chars: int = 50_000
     seed: int = 11
     rounds: int = 3
 
@@ -218,8 +220,8 @@ def _counts(rows: list[tuple[str, str]]) -> list[Counter]:
 
 
 def train(docs: DataFrame, key: str, text: str, label: str, sample: Sample = Sample(), pieces: str = PIECES) -> Model:
-    """Fit on at most ``sample.documents`` documents of each label. Without any labelled row the languages cannot be told: a ValueError."""
-    labelled = docs.select(F.col(key).alias("k"), label_code(F.col(label)).alias("code"), F.length(text).alias("n")).where("code IS NOT NULL AND n > 0")
+    """Fit on at most ``sample.documents`` documents of each label, each of at most ``sample.chars`` characters. Without any such row the languages cannot be told: a ValueError."""
+    labelled = docs.select(F.col(key).alias("k"), label_code(F.col(label)).alias("code"), F.length(text).alias("n")).where(F.col("code").isNotNull() & F.col("n").between(1, sample.chars))
     order = Window.partitionBy("code").orderBy(F.xxhash64("k", F.lit(sample.seed)), "k")
     chosen = labelled.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample.documents).select("k", "code")
     rows = [(r[0], r[1]) for r in docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("code", "text").collect()]

@@ -154,7 +154,8 @@ def selected_documents(sized: DataFrame, arcs: DataFrame, seed: int = 7) -> Data
     inside = Window.partitionBy("pattern", "bucket").orderBy("h", "tid").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(base, ["pattern", "bucket"])
     placed = placed.select("doc", "pattern", "tokens", (F.col("base") + F.col("within")).alias("place"))
-    live = F.broadcast(arcs.where("arc_tokens > 0").select("plan", "source", "pattern", "arc_start", "arc_tokens", "lap_tokens"))  # a row for each plan, pattern and source
+    # A row for each plan, pattern and source: broadcast where Spark finds it small enough, else joined with the hot patterns split by adaptive execution.
+    live = arcs.where("arc_tokens > 0").select("plan", "source", "pattern", "arc_start", "arc_tokens", "lap_tokens")
     upto = lambda end: F.ceil((end - F.col("place")) / F.col("lap_tokens"))
     chosen = placed.join(live, "pattern").withColumn("repeats", (upto(F.col("arc_start") + F.col("arc_tokens")) - upto(F.col("arc_start"))).cast("int"))
     return chosen.where("repeats > 0").select("plan", "doc", "source", "repeats", "tokens")
