@@ -47,7 +47,8 @@ def act_code(text: Column, names: list[tuple[str, str]]) -> Column:
     squashed = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[,’']", " "), r"\s+", " "))
     pattern = _pattern([n for n, _ in names])
     code = F.create_map(*[F.lit(x) for n, c in reversed(names) for x in (n, c)])
-    found = F.array_distinct(F.transform(F.regexp_extract_all(squashed, F.lit(f"({pattern})"), 1), lambda x: F.regexp_replace(x, r"\s+", " ")))
+    # Looked for at each place, as a longer name may begin inside a shorter one.
+    found = F.array_distinct(F.transform(F.regexp_extract_all(squashed, F.lit(f"(?=({pattern}))"), 1), lambda x: F.regexp_replace(x, r"\s+", " ")))
     longest = F.aggregate(found, F.lit(""), lambda best, x: F.when((F.length(x) > F.length(best)) | ((F.length(x) == F.length(best)) & (x < best)), x).otherwise(best))
     return F.try_element_at(code, longest)
 
@@ -112,6 +113,22 @@ def mentions(df: DataFrame, key: str, text: str, acts: DataFrame, about: str | N
     return found.distinct()
 
 
+def claim_references(claims: DataFrame, key: str, claim: str, source: str, sources: DataFrame, text: str, acts: DataFrame, given: str | None = None, about: str | None = None) -> DataFrame:
+    """(key, ref_key, of_source): the provisions of a claim: those ``given`` (a column of arrays) and those its text names; where it has none, those of its source.
+
+    ``source`` is the key of the source text, in claims as in sources, and ``about`` in both the act that is meant where a text names none; the references of a source are looked for once, however many claims it has. Null texts
+    name nothing; a claim without any reference in either text has no row; repeated rows count once.
+    """
+    own = mentions(claims, key, claim, acts, about)
+    if given:
+        own = own.unionByName(claims.select(key, F.explode(given).alias("ref_key")).where("ref_key != ''")).distinct()
+    own = cut(own)
+    rest = claims.select(key, source).distinct().join(own.select(key).distinct(), key, "left_anti")
+    told = mentions(sources.join(rest.select(source).distinct(), source, "left_semi"), source, text, acts, about)
+    rest = rest.join(told, source).select(key, "ref_key").distinct()
+    return own.withColumn("of_source", F.lit(False)).unionByName(rest.withColumn("of_source", F.lit(True)))
+
+
 def closure(keys: DataFrame, equivalences: DataFrame, key: str = "ref_key") -> DataFrame:
     """(key, alias): a key, its parents, and all that is equivalent to any of these.
 

@@ -43,6 +43,8 @@ SINGLE, DOUBLE, DASHES = "‘’‚‛′", "“”„‟″", "‐‑‒–—
 QUALIFIER_SEARCH = r"(?i)(notwithstanding|shall not apply|there shall be no obligation|nothing in this|not be enforceable|provided that|except)"
 CASE_CITATION = r"\(\d{4}\)\s*\d+\s*[A-Z]{2,4}\s*\d+"
 MOST_QUOTE_CHARS = 600
+# Fixed value: where a provision may be split, after a mark that ends a sentence or clause.
+SENTENCE_GAP = r"(?<=[.;:—])\s+(?=[A-Z(\d])"
 DROPPED = "​‌‍﻿­"
 
 
@@ -111,6 +113,21 @@ def truncate(text: str, most: int) -> str:
     return f"CASE WHEN length({text}) > {most} THEN concat(left({text}, {most - 1}), '…') ELSE {text} END"
 
 
+def split_long(text: str, most: int) -> str:
+    """The parts of a text of at most ``most`` characters: whole sentences and clauses as long as they fit, and longer ones cut where the room ends.
+
+    A text that fits is its only part, without blanks at its ends; null and blank texts have no parts.
+    """
+    body = r"regexp_replace(%s, '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '')" % text
+    state = lambda done, open_: f"named_struct('done', {done}, 'open', {open_})"
+    step = f"CASE WHEN a.open = '' THEN {state('a.done', 's')} WHEN length(a.open) + 1 + length(s) > {most} THEN {state('array_append(a.done, a.open)', 's')} ELSE {state('a.done', "concat(a.open, ' ', s)")} END"
+    packed = f"aggregate(split(t, {sql_text(SENTENCE_GAP)}), {state('CAST(array() AS ARRAY<STRING>)', "''")}, (a, s) -> {step}, a -> array_append(a.done, a.open))"
+    cuts = f"flatten(transform({packed}, p -> transform(sequence(0, (length(p) - 1) div {most}), i -> substring(p, CAST(i * {most} + 1 AS INT), {most}))))"
+    parts = f"CASE WHEN t IS NULL OR t = '' THEN CAST(array() AS ARRAY<STRING>) WHEN length(t) <= {most} THEN array(t) ELSE {cuts} END"
+    # The text is bound once by the outer lambda.
+    return f"transform(array({body}), t -> {parts})[0]"
+
+
 def level1(text: str) -> str:
     """Folded text for matching: full-width forms, hyphens at line ends, quotes, dashes, digits and spellings of references made alike, in lower case."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))

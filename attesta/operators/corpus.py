@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import text
 from attesta.functions.filters import all_of, where
 
 # What status, kind of document and state of verification may be.
@@ -57,6 +58,16 @@ def carried(parts: DataFrame, doc: str = "doc_id", seq: str = "seq", text: str =
     return parts.withColumn("with_carry", F.when(before.isNull(), F.col(text)).otherwise(F.concat(F.lit("…"), F.right(before, F.lit(most)), F.lit(" "), F.col(text))))
 
 
+def provision_parts(provisions: DataFrame, most: int = 1200, key: str = "chunk_id", text_column: str = "text", heading: str = "heading") -> DataFrame:
+    """(key, part_no, n_parts, part, block): provisions longer than ``most`` split at ends of sentences; block is the part below its heading, which numbers the
+    parts after the first. Null and blank texts have no parts; a null heading counts as empty and leaves no line."""
+    rows = provisions.select(key, F.coalesce(heading, F.lit("")).alias("heading"), F.expr(text.split_long(text_column, most)).alias("parts"))
+    rows = rows.select(key, "heading", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part_no", "part"))
+    more = F.when(F.col("part_no") > 0, F.format_string(" (continued %d)", F.col("part_no") + 1)).otherwise("")
+    line = F.trim(F.concat("heading", more))
+    return rows.select(key, "part_no", "n_parts", "part", F.when(line != "", F.concat(line, F.lit("\n"), "part")).otherwise(F.col("part")).alias("block"))
+
+
 def passages(sources: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, seq, passage): the chunks of the stored texts, cut out by their offsets."""
     rows = sources.select("doc_id", "text", F.explode("chunks").alias("c"))

@@ -7,14 +7,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import text
+from attesta.functions.places import located
+from attesta.session import kept
 
 # Similarities from which a quote counts as verified and partly verified; Jaccard of tokens below which a window is not compared; slack of widths.
 VERIFIED, PARTIAL, PREFILTER, SLACK, LEAST_CHARS = 0.95, 0.75, 0.5, 0.2, 40
 THRESHOLDS = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.99)
+# Words by which a quote is looked for in all texts.
+PROBE_WORDS = 6
 
 
 def levels(rows: DataFrame, source: str = "source", quote: str = "quote") -> DataFrame:
@@ -84,17 +88,69 @@ def matched(rows: DataFrame, key: str = "quote_id", source: str = "source", quot
     return hit.unionByName(fuzzy)
 
 
-def guarded(rows: DataFrame, matches: DataFrame, key: str = "quote_id", quote: str = "quote", source: str = "source") -> DataFrame:
+def _run_hashes(words: Column, n: int) -> Column:
+    """Hashes of each n consecutive words."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+
+
+def elsewhere(wanted: DataFrame, texts: DataFrame, key: str = "quote_id", quote: str = "quote", text_key: str = "chunk_id", body: str = "text") -> DataFrame:
+    """(key, found_in, n_texts): the quotes that stand in any of the texts at level 2, the least key of such a text and how many there are.
+
+    A quote is looked for by one run of six words from its inside (its ends may be parts of words), a shorter one by its longest inner word; the runs of all
+    texts are hashed and joined with these, and what meets is compared as a whole. Equal texts and equal quotes are compared once. Quotes of less than
+    LEAST_CHARS characters at level 2 or of less than three words, null and empty texts are not looked for; repeated rows count once.
+    """
+    fold = lambda c: F.expr(text.level2(text.level1(c)))
+    rows = wanted.select(key, fold(quote).alias("q")).where(F.length("q") >= LEAST_CHARS).distinct().withColumn("words", F.split("q", " ")).where(F.size("words") >= 3)
+    inner = F.slice("words", F.lit(2), F.size("words") - 2)
+    size = F.when(F.size("words") >= PROBE_WORDS + 2, F.lit(PROBE_WORDS)).otherwise(1)
+    runs = F.transform(F.sequence(F.lit(1), F.size("inner") - F.col("size") + 1), lambda i: F.array_join(F.slice("inner", i, F.col("size")), " "))
+    longest = F.array_max(F.transform(F.col("runs"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    probes = kept(rows.withColumns({"inner": inner, "size": size}).withColumn("runs", runs).select(key, "q", F.xxhash64(longest).alias("h")))
+    # Each different text once, under the hash of its folded form.
+    stored = kept(texts.where(F.col(body).isNotNull()).select(F.col(text_key).alias("owner"), fold(body).alias("t")).where("t != ''").withColumn("tid", F.xxhash64("t")))
+    one = stored.select("tid", "t").dropDuplicates(["tid", "t"]).withColumn("words", F.split("t", " "))
+    hashes = F.array_union(F.when(F.size("words") >= PROBE_WORDS, _run_hashes(F.col("words"), PROBE_WORDS)).otherwise(F.array().cast("array<bigint>")), _run_hashes(F.col("words"), 1))
+    near = one.select("tid", F.explode(hashes).alias("h")).join(probes.select("q", "h").distinct(), "h").select("tid", "q").distinct()
+    hits = near.join(stored.select("tid", "t", "owner"), "tid").where(F.instr("t", F.col("q")) > 0).groupBy("q").agg(F.min("owner").alias("found_in"), F.count_distinct("owner").alias("n_texts"))
+    return probes.select(key, "q").join(hits, "q").select(key, "found_in", "n_texts")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tiers, sources, words = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        # Words of a fuzzy match are whole words of level 2.
+        found = [located(s, w, 1 if t == "exact" else 2) or (None, None) for t, s, w in zip(tiers, sources, words)]
+        start, end = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([None if a is None else s[a:b] for s, (a, b) in zip(sources, found)], pa.string())], ["k", "tier", "start", "end", "shown"])
+
+
+def in_source(rows: DataFrame, matches: DataFrame, key: str = "quote_id", source: str = "source") -> DataFrame:
+    """(key, tier, start, end, shown): where what a quote matched stands in the source as it is written: characters from start up to, not with, end.
+
+    The first place counts. Matches of tier none have no row; start and end are null where compatibility forms that the match keeps apart hide the place.
+    """
+    texts = rows.select(key, F.col(source).alias("s")).dropDuplicates([key])
+    kind = rows.schema[key].dataType.simpleString()
+    both = matches.where("tier != 'none'").join(texts, key).select(key, "tier", "s", "matched")
+    return both.mapInArrow(_places, f"k {kind}, tier string, start int, end int, shown string").withColumnRenamed("k", key)
+
+
+def guarded(rows: DataFrame, matches: DataFrame, key: str = "quote_id", quote: str = "quote", source: str = "source", others: DataFrame | None = None) -> DataFrame:
     """matches with guards (those that fire, sorted) and status (verified, partially_verified, rejected) after them. A quote whose source has no text at hand
-    fires source_unavailable and nothing else."""
+    fires source_unavailable and nothing else. With the result of ``elsewhere`` as ``others``, quotes that match nothing in their source but stand in another
+    text fire wrong_source."""
     quotes = rows.select(key, F.expr(text.level1(quote)).alias("q1"), F.col(source).isNull().alias("unavailable")).dropDuplicates([key])
     both = matches.join(quotes, key)
+    astray = F.lit(False)
+    if others is not None:
+        both, astray = both.join(others.select(key, F.lit(True).alias("astray")), key, "left"), F.coalesce("astray", F.lit(False)) & (F.col("tier") == "none")
     q2 = F.expr(text.level2("q1"))
     found = F.col("tier") != "none"
     short = (F.length(F.coalesce(q2, F.lit(""))) < LEAST_CHARS) & (F.col("tier") != "exact")
     numbers = found & (F.expr(text.numeric_tokens("q1")) != F.expr(text.numeric_tokens("matched")))
     negations = found & (F.expr(text.negation_count(text.level2("q1"))) != F.expr(text.negation_count(text.level2("matched"))))
-    guards = F.array_compact(F.array(F.when(negations, "negation_mismatch"), F.when(numbers, "number_mismatch"), F.when(short, "quote_too_short")))
+    guards = F.array_compact(F.array(F.when(negations, "negation_mismatch"), F.when(numbers, "number_mismatch"), F.when(short, "quote_too_short"), F.when(astray, "wrong_source")))
     guards = F.when(F.col("unavailable"), F.array(F.lit("source_unavailable"))).otherwise(guards)
     base = F.when(F.col("tier").isin("exact", "normalized") | (F.col("similarity") >= VERIFIED), "verified").when(F.col("similarity") >= PARTIAL, "partially_verified").otherwise("rejected")
     rejected = F.array_contains("guards", "number_mismatch") | F.array_contains("guards", "quote_too_short") | F.array_contains("guards", "source_unavailable") | (F.col("base") == "rejected")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from attesta.functions import text
 from attesta.operators import corpus
-from attesta.operators.quotes import THRESHOLDS
+from attesta.operators.quotes import LEAST_CHARS, THRESHOLDS
 
 _DATE = """CASE WHEN regexp_matches({c}, '^\\d{{4}}-') THEN {c} WHEN regexp_matches({c}, '^\\d{{4}}/') THEN replace({c}, '/', '-')
  WHEN regexp_matches({c}, '^\\d{{8}}$') THEN strftime(strptime({c}, '%Y%m%d'), '%Y-%m-%d') WHEN regexp_matches({c}, '^\\d+-\\d+-\\d{{4}}$') THEN strftime(strptime({c}, '%d-%m-%Y'), '%Y-%m-%d')
@@ -98,6 +98,16 @@ def _top(rows: str, k: int) -> str:
     return f"SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM ({rows})) WHERE rank <= {k}"
 
 
+# Sentences of long provisions, packed one after the other; then cut where one alone is too long.
+_PARTS = rf"""WITH RECURSIVE {_CHUNKS}, tx AS (SELECT chunk_id, coalesce(heading, '') AS heading, regexp_replace(text, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g') AS t FROM ch WHERE text IS NOT NULL),
+ se AS (SELECT chunk_id, string_split(regexp_replace(t, '([.;:—])\s+([A-Z(0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM tx WHERE length(t) > 1200),
+ pk AS (SELECT chunk_id, s, 2 AS i, s[1] AS buf, []::VARCHAR[] AS done FROM se UNION ALL
+  SELECT chunk_id, s, i + 1, CASE WHEN length(buf) + 1 + length(s[i]) > 1200 THEN s[i] ELSE buf || ' ' || s[i] END, CASE WHEN length(buf) + 1 + length(s[i]) > 1200 THEN list_append(done, buf) ELSE done END FROM pk WHERE i <= len(s)),
+ pa AS (SELECT chunk_id, unnest(range(1, len(done) + 2)) AS k, unnest(list_append(done, buf)) AS p FROM pk WHERE i = len(s) + 1),
+ cu AS (SELECT chunk_id, k, p, unnest(range(0, (length(p) - 1) // 1200 + 1)) AS c FROM pa),
+ nu AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY k, c) - 1 AS part_no, count(*) OVER (PARTITION BY chunk_id) AS n_parts, substring(p, c * 1200 + 1, 1200) AS part FROM cu),
+ bl AS (SELECT chunk_id, part_no, n_parts, part, trim(heading || CASE WHEN part_no > 0 THEN ' (continued ' || (part_no + 1) || ')' ELSE '' END) AS line FROM nu JOIN tx USING (chunk_id))
+ SELECT chunk_id, part_no, n_parts, length(part) AS n_chars, md5(CASE WHEN line <> '' THEN line || chr(10) || part ELSE part END) AS block_hash FROM bl WHERE n_parts > 1"""
 _PAIRS = "pr AS (SELECT a, b FROM equivalences UNION SELECT b, a FROM equivalences)"
 _KEYS = "SELECT ref_key FROM ch UNION SELECT ref_key_alt FROM ch UNION SELECT a FROM equivalences UNION SELECT b FROM equivalences"
 _CLOSURE = f"{_CHUNKS}, {_PAIRS}, st AS (SELECT ref_key FROM ({_KEYS}) WHERE ref_key <> ''), " + r"""cl AS (SELECT ref_key, ref_key AS alias FROM st UNION SELECT ref_key, regexp_replace(ref_key, '\(\w+\)$', '') FROM st
@@ -205,6 +215,10 @@ def oracle_sql() -> dict[str, str]:
         "cited_sources": "SELECT DISTINCT quote_id, doc_id, coalesce(doc_id IN (SELECT doc_id FROM sources), false) AS valid FROM quotes",
         "ingest_totals": "SELECT ingest_batch, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars FROM chunks GROUP BY 1",
         "sign_off": f"SELECT doc_type, coalesce(nullif(lower(trim(verification_status)), ''), 'unverified') AS state, count(*) AS n_docs, CAST(sum(len(chunks)) AS BIGINT) AS n_chunks FROM {_STATUS} GROUP BY 1, 2",
+        "long_provisions": _PARTS,
+        "quotes_elsewhere": f"""WITH {_CHUNKS}, q AS (SELECT quote_id, q2 FROM (SELECT quote_id, q2, length(q1) > 0 AND contains(s1, q1) OR length(q2) > 0 AND contains(s2, q2) AS own FROM {_QUOTE_LEVELS}) WHERE own IS NOT TRUE AND length(q2) >= {LEAST_CHARS} AND len(string_split(q2, ' ')) >= 3),
+ t AS (SELECT chunk_id, {_level2('f')} AS t2 FROM (SELECT chunk_id, {_level1('text')} AS f FROM ch WHERE text IS NOT NULL))
+ SELECT quote_id, min(chunk_id) AS found_in, count(*) AS n_texts FROM q JOIN t ON contains(t2, q2) GROUP BY quote_id""",
         "chunk_ids": f"WITH {_CHUNKS} SELECT chunk_id, doc_id || '::c' || format('{{:03d}}', row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) AS made_id FROM ch",
         "read_passages": f"WITH {_CHUNKS}, ok AS (SELECT * FROM ch WHERE text IS NOT NULL) SELECT a.chunk_id AS anchor_id, CAST(count(*) AS INTEGER) AS n, md5(left(string_agg(c.text, chr(10) || chr(10) ORDER BY c.seq, c.chunk_id), 3000)) AS passage_hash FROM ok a JOIN ok c ON c.doc_id = a.doc_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1 GROUP BY 1",
         "distinct_acts": "SELECT count(*) AS n_acts, string_agg(act_code || ':' || n, ' ' ORDER BY act_code) AS counts FROM (SELECT act_code, count(*) AS n FROM documents WHERE act_code <> '' GROUP BY 1)",

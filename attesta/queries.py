@@ -81,6 +81,12 @@ def stale_offsets(spark, sf_dir):
     return rows.where("char_start IS NULL OR char_end IS NULL OR char_end - char_start != length(text)").select("chunk_id", "char_start", "char_end", F.length("text").alias("n_chars"))
 
 
+def long_provisions(spark, sf_dir):
+    """The parts of all provisions that are longer than a chunk may be, each below its heading."""
+    parts = corpus.provision_parts(_chunks(spark, sf_dir, "text", "heading")).where("n_parts > 1")
+    return parts.select("chunk_id", "part_no", "n_parts", F.length("part").alias("n_chars"), F.md5("block").alias("block_hash"))
+
+
 def chunk_carry(spark, sf_dir):
     rows = corpus.carried(_chunks(spark, sf_dir, "doc_id", "seq", "text").where("text IS NOT NULL")).select("chunk_id", "with_carry")
     return rows.select("chunk_id", F.md5("with_carry").alias("carry_hash"), F.length("with_carry").alias("n_chars"))
@@ -241,6 +247,13 @@ def ref_mentions(spark, sf_dir):
     return refs.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "acts"), "act_code")
 
 
+def claim_references(spark, sf_dir):
+    """The provisions that each line of a document names, or where it names none, its document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "act_code")
+    lines = docs.select("doc_id", "act_code", F.posexplode(F.split("text", "\\n+")).alias("n", "line")).select("doc_id", "act_code", F.concat_ws("#", "doc_id", "n").alias("line_id"), "line")
+    return refs.claim_references(lines, "line_id", "line", "doc_id", docs, "text", table(spark, sf_dir, "acts"), about="act_code")
+
+
 def _keys(spark, sf_dir):
     """All keys that chunks stand under, and both sides of all equivalences."""
     own = _chunks(spark, sf_dir, "ref_key", "ref_key_alt").select(F.explode(F.array("ref_key", "ref_key_alt")).alias("ref_key"))
@@ -381,9 +394,23 @@ def quote_tiers(spark, sf_dir):
     return quotes.tiered(table(spark, sf_dir, "quotes")).where("tier != 'none'").select("quote_id", "tier")
 
 
+def quotes_elsewhere(spark, sf_dir):
+    """Quotes that do not stand in their source but in a stored passage."""
+    lost = quotes.tiered(table(spark, sf_dir, "quotes")).where("tier = 'none'").select("quote_id", "quote")
+    return quotes.elsewhere(lost, _chunks(spark, sf_dir, "text"))
+
+
+def quote_places(spark, sf_dir):
+    """Where each quote stands in its source, told in characters of the source as it is written."""
+    rows = table(spark, sf_dir, "quotes")
+    return quotes.in_source(rows, quotes.matched(rows)).select("quote_id", "tier", "start", "end", F.md5("shown").alias("shown_hash"))
+
+
 def quote_check(spark, sf_dir):
     rows = table(spark, sf_dir, "quotes")
-    out = quotes.guarded(rows, quotes.matched(rows))
+    matches = cut(quotes.matched(rows))
+    others = quotes.elsewhere(rows.join(matches.where("tier = 'none'"), "quote_id", "left_semi"), _chunks(spark, sf_dir, "text"))
+    out = quotes.guarded(rows, matches, others=others)
     return out.withColumn("guards", F.array_join("guards", ","))
 
 
@@ -547,8 +574,10 @@ def stream_closed_windows(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
+    """Events that are delivered twice come out once."""
     out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
-    rows = streams.drained(streams.deduplicated(streams.event_stream(spark, sf_dir)), out)
+    twice = streams.event_stream(spark, sf_dir).unionByName(streams.event_stream(spark, sf_dir))
+    rows = streams.drained(streams.deduplicated(twice), out)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
@@ -567,6 +596,7 @@ _PLAIN = [
     request_by_class, ring_last_n, ring_last_n_by_user, window_recent, events_since, event_numbers, user_state, expired_users, hourly_windows, user_sessions,
     capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_closed_windows, stream_dedup, stream_user_state, source_list, web_ids, point_read, deleted_documents, cited_sources, ingest_totals, sign_off, chunk_ids,
     read_passages, distinct_acts, qualifier_search, case_citations, pool_merged, pool_duplicates, pool_summary, pool_trace, uncovered_terms, quote_cut, top_types, reached_types, requests_of_class, failed_users,
+    long_provisions, quotes_elsewhere, quote_places, claim_references,
 ]
 
 

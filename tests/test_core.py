@@ -1,13 +1,15 @@
 """Operators on small tables, with nulls, empty tables and clashing names."""
 
 import json
+import random
+import re
 import subprocess
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.functions import filters, refs, text
+from attesta.functions import filters, places, refs, text
 from attesta.operators import corpus, metrics, quotes, retrieve
 from attesta.sources import files
 
@@ -143,3 +145,76 @@ def test_seed_documents_and_run_log(spark, tmp_path):
 def test_entry_without_llm():
     code = "import sys; sys.modules['attesta.llm'] = None; import attesta.queries, attesta.oracles; assert set(attesta.oracles.oracle_sql()) <= set(attesta.queries.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_overlapping_names_of_acts(spark):
+    names = [("tolls act of the north", "NTA"), ("harbour tolls act", "HTA")]
+    rows = spark.createDataFrame([("the Harbour Tolls Act of the North",), ("Harbour, Tolls Act",), (None,)], "t string")
+    assert [r[0] for r in rows.select(refs.act_code(F.col("t"), names)).collect()] == ["NTA", "HTA", None]
+
+
+def test_claim_references_fall_back(spark):
+    acts = spark.createDataFrame([("HTA", "section", ["harbour tolls act", "hta"])], "act_code string, unit string, names array<string>")
+    claims = spark.createDataFrame([(1, "Section 5 of the Harbour Tolls Act", "a", []), (2, "nothing", "a", []), (2, "nothing", "a", []), (3, None, "b", []), (4, "nothing", "a", ["HTA:S9"])], "id int, claim string, src string, given array<string>")
+    sources = spark.createDataFrame([("a", "See section 7(2) of the Harbour Tolls Act."), ("b", None)], "src string, body string")
+    got = sorted(map(tuple, refs.claim_references(claims, "id", "claim", "src", sources, "body", acts, "given").collect()))
+    assert got == [(1, "HTA:S5", False), (2, "HTA:S7(2)", True), (4, "HTA:S9", False)]
+
+
+def _packed(text, most):
+    """Brute force: sentences one after the other."""
+    text = text.strip()
+    if len(text) <= most:
+        return [text] if text else []
+    done, held = [], ""
+    for s in re.split(r"(?<=[.;:—])\s+(?=[A-Z(\d])", text):
+        if held and len(held) + 1 + len(s) > most:
+            done, held = [*done, held], s
+        else:
+            held = f"{held} {s}" if held else s
+    return [p[i : i + most] for p in [*done, held] for i in range(0, len(p), most)]
+
+
+def test_long_provisions_are_split(spark):
+    rng = random.Random(3)
+    texts = ["", "   ", None, "short", "x" * 95, "A. B. C", " Ends; and (a) so on: (b) more — 12 words. " * 9] + [" ".join(rng.choice(["word", "End.", "(a)", "So;", "Twelve:", "y" * 30]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    rows = spark.createDataFrame([(i, t, "H" if i % 2 else None, "clash") for i, t in enumerate(texts)], "chunk_id int, text string, heading string, part string")
+    got = {}
+    for r in corpus.provision_parts(rows, 40).orderBy("chunk_id", "part_no").collect():
+        got.setdefault(r.chunk_id, []).append(r.part)
+        head = (["H"] if r.chunk_id % 2 else []) + ([f"(continued {r.part_no + 1})"] if r.part_no else [])
+        assert r.block == (f"{' '.join(head)}\n{r.part}" if head else r.part)
+    assert got == {i: p for i, t in enumerate(texts) if t and (p := _packed(t, 40))}
+
+
+def test_places_in_the_source(spark):
+    source = "Whoever  com-\n  mits “murder”, or １,０００ oﬀences, shall be punished; and no less."
+    rows = spark.createDataFrame([(1, source, 'commits "murder"'), (2, source, "murder or 1000 oﬀences shall"), (3, source, "nowhere at all"), (4, None, "x"), (5, source, "")], "quote_id int, source string, quote string")
+    got = {r.quote_id: (r.tier, r.shown) for r in quotes.in_source(rows, quotes.matched(rows)).collect()}
+    assert got == {1: ("exact", "com-\n  mits “murder”"), 2: ("normalized", "murder”, or １,０００ oﬀences, shall")}
+
+
+def test_places_round_trip():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("ab AB.,-\n\t“’–०…ﬁ１İ12 §") for _ in range(rng.randrange(40)))
+        for level in (1, 2):
+            form, at = places.folded(text, level)
+            assert len(form) == len(at) and all(x <= y for x, y in zip(at, at[1:])) and form == form.strip(" ")
+            if len(form) > 4 and " " not in form[1:4]:
+                a, b = places.located(text, form[1:4], level)
+                assert 0 <= a < b <= len(text)
+
+
+def test_quotes_elsewhere(spark):
+    body = "no person shall keep more than forty barrels of lamp oil in a shed beside the quay"
+    texts = [("b", f"Rule 1. {body.upper()}!"), ("a", f"{body}s and more"), ("c", "other words"), ("d", None), ("e", ""), ("b", f"Rule 1. {body.upper()}!")]
+    wanted = [(1, body), (2, "keep more than forty barrels of lamp oil in a shed"), (3, "more than forty"), (4, body.replace("quay", "pier")), (5, None), (6, "incontrovertibilities unextraordinarilyx so"), (1, body)]
+    long = [("f", "incontrovertibilities unextraordinarilyx sorry"), ("g", " ".join(f"w{i}" for i in range(5000)))]
+    stored = spark.createDataFrame([(k, t, "clash") for k, t in texts + long], "chunk_id string, text string, q string")
+    rows = spark.createDataFrame([(k, q, "clash") for k, q in wanted], "quote_id int, quote string, words string")
+    assert sorted(map(tuple, quotes.elsewhere(rows, stored).collect())) == [(1, "a", 2), (2, "a", 2), (6, "f", 1)]
+    assert quotes.elsewhere(rows, stored.limit(0)).count() == 0 == quotes.elsewhere(rows.limit(0), stored).count()
+    full = spark.createDataFrame([(1, "nothing of it", body)], "quote_id int, source string, quote string")
+    (row,) = quotes.guarded(full, quotes.matched(full), others=quotes.elsewhere(full, stored)).collect()
+    assert row.guards == ["wrong_source"] and row.status == "rejected"
