@@ -89,7 +89,8 @@ def run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """All items, ready to be searched: word numbers, item texts in these numbers, and the sorted hashes of their pieces with (item, place)."""
+    """All items, ready to be searched: word numbers, item texts in these numbers, the sorted hashes of their pieces with (item, place), and the items that are
+    shorter than a passage by their number of words, as sorted hashes of the whole with the item."""
 
     span: int
     errors: int
@@ -98,6 +99,7 @@ class Items:
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, texts: list[str], span: int, errors: int) -> Items:
@@ -115,19 +117,25 @@ class Items:
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         hashes, owner, place = join(hashes, np.uint64), join(owner, np.int64), join(place, np.int64)
         order = np.argsort(hashes, kind="stable")
-        return cls(span, errors, number, ids, hashes[order], owner[order], place[order])
+        short = {}
+        for n in sorted({len(own) for own in ids} & set(range(1, span))):
+            whole = np.array([i for i, own in enumerate(ids) if len(own) == n])
+            forms = np.concatenate([run_hashes(ids[i], n) for i in whole])
+            by_form = np.argsort(forms, kind="stable")
+            short[n] = forms[by_form], whole[by_form]
+        return cls(span, errors, number, ids, hashes[order], owner[order], place[order], short)
 
     def search(self, text: str) -> dict[int, tuple[int, int]]:
         """For each item of which the text holds a passage: (least edits, words of the longest run that stands in both without any edit)."""
         own = words(text, self.number.keys())
         length = piece_length(self.span, self.errors)
-        if len(own) < self.span - self.errors:
-            return {}
         doc = np.fromiter(map(self.number.get, own, [0] * len(own)), np.uint64, len(own))
+        found = self._short_items(doc)
+        if len(own) < self.span - self.errors:
+            return found
         h = run_hashes(doc, length)
         first = np.searchsorted(self.hashes, h)
         hits = np.nonzero(self.hashes[np.minimum(first, len(self.hashes) - 1)] == h)[0] if len(self.hashes) else []
-        found: dict[int, tuple[int, int]] = {}
         ends: dict[tuple[int, int], int] = {}  # of the exact runs on each diagonal of each item
         for at in hits:
             k = first[at]
@@ -139,6 +147,17 @@ class Items:
                 self._verify(item, place, int(at), doc, found, ends)
         return found
 
+    def _short_items(self, doc: np.ndarray) -> dict[int, tuple[int, int]]:
+        found = {}
+        for n, (forms, owners) in self.short.items():
+            h = run_hashes(doc, n) if len(doc) >= n else forms[:0]
+            first, last = np.searchsorted(forms, h), np.searchsorted(forms, h, side="right")
+            for at in np.nonzero(last > first)[0]:
+                for i in owners[first[at] : last[at]].tolist():
+                    if i not in found and np.array_equal(self.ids[i], doc[at : at + n]):
+                        found[i] = (0, n)
+        return found
+
     def _verify(self, item: int, place: int, at: int, doc: np.ndarray, found: dict, ends: dict) -> None:
         ids, span, errors = self.ids[item], self.span, self.errors
         a, b, x, y = place, at, place, at
@@ -168,7 +187,8 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     """(key, item_key, edits, run_words) for each document that holds a passage of an item within the error budget.
 
     edits is 0 where ``span`` consecutive words of the item stand in the document unchanged; run_words is the longest unchanged run met. Repeated rows give one
-    row, null texts and keys none; items shorter than a passage and empty texts have no passages. Items are refused above MOST_ITEM_CHARS characters.
+    row, null texts and keys none, empty texts have no passages. An item shorter than a passage is one passage, and counts only where it stands as a whole and
+    unchanged (run_words then is its length). Items are refused above MOST_ITEM_CHARS characters.
     """
     size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
     if size > MOST_ITEM_CHARS:

@@ -112,12 +112,31 @@ def sized_documents(docs: DataFrame, key: str, text: str, source: str, ranks_fil
     return cut(one.where("tokens > 0").select("doc", "tid", "pattern", "tokens", "copies"))
 
 
-def allotments(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def held_quotas(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], repeats: dict[str, int], steps: int = 20) -> dict[str, int]:
+    """The greatest quotas in the given relation, none above the given ones, that all can be met at once, found by halving to one part in 2**steps.
+
+    Sources that can give nothing at all keep their quota and do not hold the others back.
+    """
+    live = {s for s in quotas if repeats[s] and quotas[s] and any(s in p and n for p, n in patterns.items())}
+    part = lambda k: {s: q * k // 2**steps if s in live else q for s, q in quotas.items()}
+    low, high = 0, 2**steps + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        wanted = part(middle)
+        flow = least_cost_flow(patterns, {s: wanted[s] for s in live}, repeats)
+        low, high = (middle, high) if sum(flow.values()) == sum(wanted[s] for s in live) else (low, middle)
+    return part(low)
+
+
+def allotments(sized: DataFrame, targets: DataFrame, hold: str = "size") -> DataFrame:
     """(plan, source, pattern, arc_start, arc_tokens, lap_tokens, quota) for every plan of targets (plan, source, target_share, max_repeats, size_factor).
 
-    Shares are relative weights. A source that cannot fill its quota within its repeats gives all it may, and the other quotas stay as they are, so that their
-    relation to each other is kept. Null or negative shares and repeats count as 0.
+    Shares are relative weights. Where a source cannot fill its quota within its repeats there are two ways: to ``hold`` the "size", that source gives all it
+    may and the other quotas stay, so that the mix keeps what it can of the wanted size; to hold the "shares", all quotas are lowered alike until every source
+    that has any tokens can fill its own. Null or negative shares and repeats count as 0.
     """
+    if hold not in ("size", "shares"):
+        raise ValueError(f"hold is size or shares, not {hold}")
     sums = sized.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("all_tokens"))
     rows = sums.limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
@@ -134,6 +153,8 @@ def allotments(sized: DataFrame, targets: DataFrame) -> DataFrame:
         repeats = {r.source: max(r.max_repeats or 0, 0) for r in lines}
         size = max(r.size_factor or 0.0 for r in lines) * corpus
         quota = {s: round(size * x / (sum(share.values()) or 1)) for s, x in share.items()}
+        if hold == "shares":
+            quota = held_quotas(patterns, quota, repeats)
         flow = least_cost_flow(patterns, quota, repeats)
         reached: dict[tuple[str, ...], int] = {}
         for s in sorted(quota):

@@ -65,7 +65,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).where("edits = 0 AND run_words >= 13").select("doc_id", "item_id")
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,9 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_segments(docs, "doc_id", "text", langid.train(docs, "doc_id", "text", "lang"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, hold: str = "size") -> tuple[DataFrame, DataFrame]:
     sized = mix.sized_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    arcs = mix.allotments(sized, table(spark, sf_dir, "mix_targets"))
+    arcs = mix.allotments(sized, table(spark, sf_dir, "mix_targets"), hold)
     return mix.selected_documents(sized, arcs), arcs
 
 
@@ -108,8 +108,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.reached_shares(*_mixed(spark, sf_dir))
 
 
+def p7_shares_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares where each plan gives up size to hold its shares."""
+    return mix.reached_shares(*_mixed(spark, sf_dir, "shares"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p3_passages": p3_passages, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_cover": p3_cover, "p3_passages": p3_passages, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_selection": p7_selection, "p7_shares": p7_shares, "p7_shares_held": p7_shares_held, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 
 # Every 120 characters of every field, by hash and then by themselves.

@@ -224,7 +224,16 @@ def test_leaks_equal_brute_force(spark, errors):
     left = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(98, ""), (99, None)], "item long, passage string")
     got = {(r.id, r.item) for r in leak.leaked_items(texts_of(spark, rows), "id", "text", left, "item", "passage", errors=errors).collect()}
     want = {(d, i) for d, t in docs for i, w in items if any(edit_distance_ends(w[s : s + 13], t.split(), errors) for s in range(len(w) - 12))}
-    assert got == want
+    # Items shorter than a passage count as a whole, unchanged.
+    whole = {(d, i) for d, t in docs for i, w in items if len(w) < 13 and f" {' '.join(w)} " in f" {t} "}
+    assert whole and got == want | whole
+
+
+def test_short_items(spark):
+    docs = [(1, "the fee is five coins"), (2, "Five coins"), (3, "five"), (4, "coins five"), (5, ""), (6, None)]
+    items = spark.createDataFrame([(1, "five coins"), (2, "Five  coins!"), (3, "..."), (4, "the fee is five coins a day")], "item long, passage string")
+    got = sorted(map(tuple, leak.leaked_items(texts_of(spark, docs), "id", "text", items, "item", "passage").collect()))
+    assert got == [(d, i, 0, 2) for d in (1, 2) for i in (1, 2)]
 
 
 def test_words():
@@ -241,6 +250,23 @@ def test_flow_prefers_unused_documents():
     assert flow[("a", "b"), "b"] <= 150 and flow.get((("a",), "a"), 0) >= 100
 
 
+def test_held_quotas():
+    patterns = {("a",): 100, ("a", "b"): 50, ("b",): 10, (): 30}
+    repeats = {"a": 2, "b": 1, "c": 4, "d": 0}
+    assert mix.held_quotas(patterns, {"a": 100, "b": 60, "c": 7, "d": 7}, repeats) == {"a": 100, "b": 60, "c": 7, "d": 7}
+    held = mix.held_quotas(patterns, {"a": 1000, "b": 1000, "c": 7, "d": 0}, repeats)
+    assert held["a"] == held["b"] == 60 and held["c"] == 7
+    rng = random.Random(2)
+    for _ in range(30):
+        quotas = {s: rng.randrange(1, 400) for s in "ab"}
+        held = mix.held_quotas(patterns, quotas, repeats)
+        flow = mix.least_cost_flow(patterns, held, repeats)
+        assert sum(flow.values()) == sum(held.values()) and abs(held["a"] * quotas["b"] - held["b"] * quotas["a"]) <= sum(quotas.values())
+        more = {s: held[s] + 2 + q // 100 for s, q in quotas.items()}
+        assert held == quotas or sum(mix.least_cost_flow(patterns, more, repeats).values()) < sum(more.values())
+    assert mix.held_quotas({}, {"a": 5}, {"a": 1}) == {"a": 5}
+
+
 def test_mix(spark):
     rows = [(i, f"word{i} " * (5 + i % 7), ["Big", "big ", "small"][i % 3] if i < 60 else None) for i in range(70)] + [(100, "shared text of both", "small"), (101, "shared text of both", "big"), (102, None, "big"), (103, "", "big")]
     docs = spark.createDataFrame(rows, "id long, text string, source string")
