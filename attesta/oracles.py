@@ -219,6 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "quotes_elsewhere": f"""WITH {_CHUNKS}, q AS (SELECT quote_id, q2 FROM (SELECT quote_id, q2, length(q1) > 0 AND contains(s1, q1) OR length(q2) > 0 AND contains(s2, q2) AS own FROM {_QUOTE_LEVELS}) WHERE own IS NOT TRUE AND length(q2) >= {LEAST_CHARS} AND len(string_split(q2, ' ')) >= 3),
  t AS (SELECT chunk_id, {_level2('f')} AS t2 FROM (SELECT chunk_id, {_level1('text')} AS f FROM ch WHERE text IS NOT NULL))
  SELECT quote_id, min(chunk_id) AS found_in, count(*) AS n_texts FROM q JOIN t ON contains(t2, q2) GROUP BY quote_id""",
+        "stream_expired_users": f"SELECT user_id, n, last_event, last_type FROM {_LATEST} WHERE last_ts + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
         "chunk_ids": f"WITH {_CHUNKS} SELECT chunk_id, doc_id || '::c' || format('{{:03d}}', row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) AS made_id FROM ch",
         "read_passages": f"WITH {_CHUNKS}, ok AS (SELECT * FROM ch WHERE text IS NOT NULL) SELECT a.chunk_id AS anchor_id, CAST(count(*) AS INTEGER) AS n, md5(left(string_agg(c.text, chr(10) || chr(10) ORDER BY c.seq, c.chunk_id), 3000)) AS passage_hash FROM ok a JOIN ok c ON c.doc_id = a.doc_id AND c.seq BETWEEN a.seq - 1 AND a.seq + 1 GROUP BY 1",
         "distinct_acts": "SELECT count(*) AS n_acts, string_agg(act_code || ':' || n, ' ' ORDER BY act_code) AS counts FROM (SELECT act_code, count(*) AS n FROM documents WHERE act_code <> '' GROUP BY 1)",

@@ -587,6 +587,13 @@ def stream_user_state(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.max_by("last_type", "n").alias("last_type"), F.max_by("last_event", "n").alias("last_event"), F.max("n").alias("n"))
 
 
+def stream_expired_users(spark, sf_dir):
+    """Users whose state the stream has dropped, a day after their last event."""
+    out = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    rows = streams.drained(streams.keyed_state(streams.event_stream(spark, sf_dir), 24 * 60), out, "update")
+    return rows.where("expired").select("user_id", "n", "last_event", "last_type")
+
+
 _PLAIN = [
     corpus_documents, corpus_rollup, corpus_unverified, browse_page, passage_slices, passage_check, chunk_offsets, stale_offsets, chunk_carry, chunk_metadata,
     metadata_violations, neighbour_read, document_order, filter_and_or, filter_not_in, filter_contains, keyword_regex, keyword_phrase, qualified_provisions, ref_labels,
@@ -596,7 +603,7 @@ _PLAIN = [
     request_by_class, ring_last_n, ring_last_n_by_user, window_recent, events_since, event_numbers, user_state, expired_users, hourly_windows, user_sessions,
     capped_details, redacted_details, run_log_roundtrip, stream_windows, stream_closed_windows, stream_dedup, stream_user_state, source_list, web_ids, point_read, deleted_documents, cited_sources, ingest_totals, sign_off, chunk_ids,
     read_passages, distinct_acts, qualifier_search, case_citations, pool_merged, pool_duplicates, pool_summary, pool_trace, uncovered_terms, quote_cut, top_types, reached_types, requests_of_class, failed_users,
-    long_provisions, quotes_elsewhere, quote_places, claim_references,
+    stream_expired_users, long_provisions, quotes_elsewhere, quote_places, claim_references,
 ]
 
 

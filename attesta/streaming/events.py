@@ -30,22 +30,45 @@ def deduplicated(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _state_of(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, last_ts, last_event, last_type = state.get if state.exists else (0, pd.Timestamp(0), -1, "")
-    for pdf in batches:
-        n += len(pdf)
-        top = pdf.sort_values(["ts", "event_id"]).iloc[-1]
-        if (top.ts, top.event_id) > (last_ts, last_event):
-            last_ts, last_event, last_type = top.ts, int(top.event_id), top.event_type
-    state.update((n, last_ts, last_event, last_type))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_event": [last_event], "last_type": [last_type]})
-
-
-def keyed_state(stream: DataFrame) -> DataFrame:
-    """The running state of each user: events so far and the last of them. A few values a key are kept, never its events."""
-    return stream.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(
-        _state_of, "user_id long, n long, last_event long, last_type string", "n long, last_ts timestamp, last_event long, last_type string", "update", GroupStateTimeout.NoTimeout
-    )
+_LATEST = "n long, last_ts timestamp, last_event long, last_type string"
+_SHOWN = "user_id long, n long, last_event long, last_type string, expired boolean"
+
+
+def _row(user: Any, n: int, last_event: int, last_type: str, expired: bool) -> pd.DataFrame:
+    return pd.DataFrame({"user_id": [user], "n": [n], "last_event": [last_event], "last_type": [last_type], "expired": [expired]})
+
+
+def _state_of(idle_ms: int | None):
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last_ts, last_event, last_type = state.get if state.exists else (0, pd.Timestamp(0), -1, "")
+        if state.hasTimedOut:
+            state.remove()
+            yield _row(key[0], n, last_event, last_type, True)
+            return
+        for pdf in batches:
+            n += len(pdf)
+            top = pdf.sort_values(["ts", "event_id"]).iloc[-1]
+            if (top.ts, top.event_id) > (last_ts, last_event):
+                last_ts, last_event, last_type = top.ts, int(top.event_id), top.event_type
+        state.update((n, last_ts, last_event, last_type))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(int(last_ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+        yield _row(key[0], n, last_event, last_type, False)
+
+    return run
+
+
+def keyed_state(stream: DataFrame, idle_minutes: int | None = None, lateness: str = "2 hours") -> DataFrame:
+    """The running state of each user: events so far and the last of them. A few values a key are kept, never its events.
+
+    With ``idle_minutes`` the state of a user is dropped, and put out once more as expired, when the watermark is that far past the last event of the user;
+    a user that comes back begins anew.
+    """
+    if idle_minutes is not None:
+        stream = stream.withWatermark("ts", lateness)
+    wait = GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.EventTimeTimeout
+    rows = stream.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
+    return rows.applyInPandasWithState(_state_of(None if idle_minutes is None else idle_minutes * 60_000), _SHOWN, _LATEST, "update", wait)
 
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
