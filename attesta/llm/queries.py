@@ -129,5 +129,23 @@ _GRAMS = f"""WITH tx AS (SELECT DISTINCT chunk_id AS c, trim(regexp_replace(lowe
  SELECT x AS chunk_a, y AS chunk_b FROM m JOIN n p ON p.c = x JOIN n q ON q.c = y WHERE k >= 0.8::DOUBLE * (p.n + q.n - k)"""
 
 
+# Words of documents and items, written without the operator's pieces: full-width forms, joined letters and look-alikes to Latin letters (no text of the
+# tables is in a language of another script with look-alikes), then every 13 words in a row.
+_LOOKS = [(x, row[0]) for row in lookalike.CLASSES if row[0] != "-" for x in row[1:] if x != "-"]
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_FORM = f"translate(t, '{_WIDE}{''.join(a for a, _ in _LOOKS)}', '{''.join(chr(ord(c) - 0xFEE0) for c in _WIDE).replace(chr(39), chr(39) * 2)}{''.join(b for _, b in _LOOKS)}')"
+for _joined, _apart in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+    _FORM = f"replace({_FORM}, '{_joined}', '{_apart}')"
+_ALL_WORDS = rf"list_filter(list_transform(string_split_regex(lower(nfc_normalize({_FORM})), '{_SPACE}'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')), lambda x: x <> '')"
+_RUNS = f"""WITH tx AS (SELECT 'd' AS tab, doc_id AS k, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL),
+ w AS (SELECT tab, k, {_ALL_WORDS} AS w FROM tx), r AS (SELECT DISTINCT tab, k, array_to_string(w[i:i + 12], ' ') AS run FROM (SELECT tab, k, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13))
+ SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM r d JOIN r i ON d.run = i.run AND d.tab = 'd' AND i.tab = 'i'"""
+
+_HIDDEN = "[" + "".join(rf"\x{{{c:X}}}" for c in lookalike.INVISIBLE) + "]+"
+_SAME = rf"""WITH tx AS (SELECT DISTINCT 'documents' AS tab, doc_id AS k, text AS t FROM documents WHERE text IS NOT NULL UNION SELECT 'quotes', quote_id, quote FROM quotes WHERE quote IS NOT NULL),
+ f AS (SELECT tab, k, t, trim(regexp_replace(nfc_normalize(regexp_replace({_FORM}, '{_HIDDEN}', '', 'g')), '{_SPACE}', ' ', 'g')) AS form FROM tx)
+ SELECT DISTINCT a.tab, a.k AS key_a, b.k AS key_b FROM f a JOIN f b ON a.tab = b.tab AND a.form = b.form AND a.k < b.k AND a.t <> b.t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _SPANS, "p4_found": _GRAMS, "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1200"}
+    return {"p1_found": _SAME, "p6_found": _RUNS, "p3_found": _SPANS, "p4_found": _GRAMS, "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1200"}
