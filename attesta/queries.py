@@ -11,7 +11,7 @@ from attesta import oracles
 from attesta.functions import refs, text
 from attesta.functions.filters import all_of, where
 from attesta.operators import corpus, history, metrics, quotes, retrieve
-from attesta.session import cut, shared_dir, table
+from attesta.session import cut, kept, shared_dir, table
 from attesta.sources import files
 from attesta.streaming import events as streams
 
@@ -408,7 +408,7 @@ def quote_places(spark, sf_dir):
 
 def quote_check(spark, sf_dir):
     rows = table(spark, sf_dir, "quotes")
-    matches = cut(quotes.matched(rows))
+    matches = kept(quotes.matched(rows))
     others = quotes.elsewhere(rows.join(matches.where("tier = 'none'"), "quote_id", "left_semi"), _chunks(spark, sf_dir, "text"))
     out = quotes.guarded(rows, matches, others=others)
     return out.withColumn("guards", F.array_join("guards", ","))
